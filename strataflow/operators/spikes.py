@@ -41,7 +41,7 @@ NEAR, FAR = 30, 100  # readings (also unusable ones) within which the running me
 CONTEXT = NEAR + FAR + MOST + 10
 BLOCK = 1 << 16
 #: Axes of the ellipsoid in robust standard deviations, rounds of its fit, and readings per fit.
-AXIS, ROUNDS, FIT = 3.0, 4, 128
+AXIS, ROUNDS, FIT = 4.0, 4, 128
 
 STREAM = "source long, field int, at long, reading_id long, number double, impossible boolean"
 OUT = STREAM + ", kind string, open boolean, part int"
@@ -71,16 +71,38 @@ def _neighbours(rows: np.ndarray, offsets: np.ndarray, seg: np.ndarray, raw: np.
     return place, inside & (seg[place] == seg[rows][:, None]) & (np.abs(raw[place] - raw[rows][:, None]) <= reach)
 
 
-def _block_scale(x: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """1.4826 times the median of |x| of each group, per row."""
-    size = np.abs(x)
-    order = np.lexsort((size, group))
-    starts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
-    counts = np.diff(np.r_[starts, len(x)])
-    middle = size[order][starts + counts // 2]
-    out = np.empty(len(x))
-    out[order] = np.repeat(1.4826 * middle, counts)
-    return out
+def _block_scale(x: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """1.4826 times the median of |x| of each stretch of fewer than 2 * FIT readings, per row."""
+    out = np.empty(len(starts))
+    wide = counts > FIT
+    for rows, width in ((np.flatnonzero(~wide), FIT), (np.flatnonzero(wide), 2 * FIT)):
+        place = starts[rows, None] + np.arange(width)
+        inside = np.arange(width) < counts[rows, None]
+        size = np.sort(np.where(inside, np.abs(x[np.minimum(place, len(x) - 1)]), np.inf), axis=1)
+        out[rows] = 1.4826 * size[np.arange(len(rows)), counts[rows] // 2]
+    return np.repeat(out, counts)
+
+
+def _levels(x: np.ndarray, seg: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Running median over HALF usable readings on either side."""
+    n, width = len(x), 2 * HALF + 1
+    level = np.empty(n)
+    full = np.zeros(n, bool)
+    if n >= width:
+        low, high = slice(0, n - 2 * HALF), slice(2 * HALF, n)
+        mid = raw[HALF : n - HALF]
+        full[HALF : n - HALF] = (seg[low] == seg[high]) & (mid - raw[low] <= NEAR) & (raw[high] - mid <= NEAR)
+        windows = np.lib.stride_tricks.sliding_window_view(x, width)
+        inner = np.flatnonzero(full)
+        for a in range(0, len(inner), BLOCK):
+            rows = inner[a : a + BLOCK]
+            level[rows] = np.sort(windows[rows - HALF], axis=1)[:, HALF]
+    rest = np.flatnonzero(~full)
+    for a in range(0, len(rest), BLOCK):
+        rows = rest[a : a + BLOCK]
+        place, ok = _neighbours(rows, np.arange(-HALF, HALF + 1), seg, raw, NEAR)
+        level[rows] = _quantile(*_window_sorted(x[place], ok), 0.5)
+    return level
 
 
 def _candidates(x: np.ndarray, level: np.ndarray, seg: np.ndarray) -> np.ndarray:
@@ -89,8 +111,9 @@ def _candidates(x: np.ndarray, level: np.ndarray, seg: np.ndarray) -> np.ndarray
     start = np.r_[True, seg[1:] != seg[:-1]]
     first = np.flatnonzero(start)
     length = np.diff(np.r_[first, n])
-    rank = np.arange(n) - np.repeat(first, length)
-    group = np.minimum(rank // FIT, np.maximum(np.repeat(length, length) // FIT - 1, 0)) + np.repeat(first, length)
+    pieces = np.maximum(length // FIT, 1)  # the last stretch of a source takes the remainder
+    starts = np.repeat(first, pieces) + FIT * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    counts = np.diff(np.r_[starts, n])
     out = np.zeros(n, bool)
     y = x.copy()
     for _ in range(ROUNDS):
@@ -101,7 +124,7 @@ def _candidates(x: np.ndarray, level: np.ndarray, seg: np.ndarray) -> np.ndarray
         d2[np.r_[start[1:], True]] = 0
         total = np.zeros(n)
         for axis in (u, d, d2):
-            scale = AXIS * _block_scale(axis, group)
+            scale = AXIS * _block_scale(axis, starts, counts)
             with np.errstate(divide="ignore", invalid="ignore"):
                 total += np.where(scale > 0, (axis / scale) ** 2, np.where(axis != 0, np.inf, 0.0))
         new = (total > 1) & ~out
@@ -128,12 +151,7 @@ def decide(source: np.ndarray, field: np.ndarray, number: np.ndarray, impossible
     if not len(raw):
         return kind
     x, seg = number[raw], segment[raw]
-    every = np.arange(len(raw))
-    level = np.empty(len(raw))
-    for a in range(0, len(raw), BLOCK):
-        rows = every[a : a + BLOCK]
-        place, ok = _neighbours(rows, np.arange(-HALF, HALF + 1), seg, raw, NEAR)
-        level[rows] = _quantile(*_window_sorted(x[place], ok), 0.5)
+    level = _levels(x, seg, raw)
     u = np.abs(x - level)
 
     candidates = np.flatnonzero(_candidates(x, level, seg))
@@ -143,6 +161,8 @@ def decide(source: np.ndarray, field: np.ndarray, number: np.ndarray, impossible
         place, ok = _neighbours(rows, np.r_[-WIDE:0, 1 : WIDE + 1], seg, raw, FAR)
         ordered, count = _window_sorted(u[place], ok)
         scatter = np.fmax(1.4826 * _quantile(ordered, count, 0.5), _quantile(ordered, count, 0.8) / 1.2816)
+        # The running median lies between the levels on either side, so what is near it is near one of them.
+        rows, scatter = (v[u[rows] > 0.6 * TIMES * scatter] for v in (rows, scatter))
         for size in range(1, MOST + 1):
             for shift in range(size):  # the candidate is the reading `shift` of a spike of `size`
                 low, high = rows - shift, rows - shift + size - 1
