@@ -1 +1 @@
-"""plans of strataflow."""
+"""The query catalogue of strataflow."""
