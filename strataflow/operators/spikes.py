@@ -177,9 +177,15 @@ def decide(source: np.ndarray, field: np.ndarray, number: np.ndarray, impossible
                 left, right = np.where(left_count, left, right), np.where(right_count, right, left)
                 whole &= np.maximum(left_count, right_count) >= 3
                 inner = x[np.minimum(low[:, None] + np.arange(size), high[:, None])]
+                limit = TIMES * scatter
                 with np.errstate(invalid="ignore"):
-                    off = np.maximum(inner.min(axis=1) - np.maximum(left, right), np.minimum(left, right) - inner.max(axis=1))
-                    spike[rows] |= whole & (off > TIMES * scatter) & (off > 0)
+                    up, down = inner.min(axis=1) - np.maximum(left, right), np.minimum(left, right) - inner.max(axis=1)
+                    # It returns: the readings next to the spike are not off on the same side.
+                    beside = np.column_stack([before[:, -1], after[:, 0]])
+                    there = np.column_stack([ok_before[:, -1], ok_after[:, 0]])
+                    above = (there & (x[beside] - np.maximum(left, right)[:, None] > limit[:, None])).any(axis=1)
+                    below = (there & (np.minimum(left, right)[:, None] - x[beside] > limit[:, None])).any(axis=1)
+                    spike[rows] |= whole & ((up > limit) & (up > 0) & ~above | (down > limit) & (down > 0) & ~below)
     kind[raw[spike]] = 3
     return kind
 
