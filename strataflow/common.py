@@ -58,3 +58,12 @@ def bounded(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Mark `df` for broadcast only when its estimated size is within `limit`; otherwise Spark picks a shuffle join."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df
+
+
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """Join rows with one row per group, where null is a group like any other. Without groups `right` is a single row."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    renamed = right.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], *[c for c in right.columns if c not in by])
+    same = [left[c].eqNullSafe(renamed[f"_g{k}"]) for k, c in enumerate(by)]
+    return left.join(renamed, same, how).drop(*[f"_g{k}" for k in range(len(by))])

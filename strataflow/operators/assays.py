@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.operators import ordered
 from strataflow.operators.statistics import clean, ratio
 
 
@@ -40,10 +41,9 @@ def codes(df: DataFrame, channels: list[Column], k: int, names: list[str]) -> Da
     return df.withColumn("_r", ranked).withColumns({"code": F.array_join(F.transform(top, lambda s: s["n"]), "+"), "separation": F.col("_r")[k]["v"] - F.col("_r")[k - 1]["v"]}).drop("_r")
 
 
-def quantile_normalised(df: DataFrame, batch: str, channel: str, levels: int = 99) -> DataFrame:
+def quantile_normalised(df: DataFrame, batch: str, channel: str, levels: int = 31) -> DataFrame:
     """`normalised`: each batch's quantiles mapped to the batches' mean quantiles, linear between and beyond them by a shift."""
-    q = F.array(*[F.lit((k + 1) / (levels + 1)) for k in range(levels)])
-    own = df.groupBy(batch).agg(F.percentile(clean(F.col(channel)), q).alias("_q"))
+    own = ordered.quantiles(df, [batch], {"x": clean(F.col(channel))}, [(k + 1) / (levels + 1) for k in range(levels)]).select(batch, F.col("q_x").alias("_q"))
     goal = own.select(F.posexplode("_q").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v"))
     goal = goal.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("_g"))  # one row of `levels` numbers
     rows = df.join(own.crossJoin(F.broadcast(goal)), batch)

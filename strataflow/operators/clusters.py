@@ -17,6 +17,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.common import cut, join_groups
+from strataflow.operators import ordered
+
 #: Query vectors in one block.
 QUERY_BLOCK = 4096
 
@@ -88,8 +91,6 @@ def shared_neighbour_graph(neighbours: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
     """Connected components by spreading the smallest label, halving paths each round; lineage is cut by checkpoints."""
-    from strataflow.common import cut
-
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
     both = cut(both)
     labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c"))
@@ -121,9 +122,9 @@ def nearest_centroid(vectors: DataFrame, by: str, key: str = "vec_id", vector: s
 def summaries(vectors: DataFrame, by: str, dims: int, vector: str = "embedding") -> DataFrame:
     """Count, share, median, mean and quartiles of the first `dims` coordinates per cluster."""
     x = lambda k: F.col(vector)[k].cast("double")
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    wide = vectors.groupBy(by).agg(F.count("*").alias("n"), *[a for k in range(dims) for a in (F.percentile(x(k), q).alias(f"q{k}"), F.avg(x(k)).alias(f"m{k}"))])
-    rows = [F.struct(F.lit(k).alias("coordinate"), F.col(f"q{k}")[0].alias("q25"), F.col(f"q{k}")[1].alias("median"), F.col(f"q{k}")[2].alias("q75"), F.col(f"m{k}").alias("mean")) for k in range(dims)]
+    wide = vectors.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(x(k)).alias(f"m{k}") for k in range(dims)])
+    wide = join_groups(wide, ordered.quantiles(vectors, [by], {str(k): x(k) for k in range(dims)}, [0.25, 0.5, 0.75]), [by])
+    rows = [F.struct(F.lit(k).alias("coordinate"), F.col(f"q_{k}")[0].alias("q25"), F.col(f"q_{k}")[1].alias("median"), F.col(f"q_{k}")[2].alias("q75"), F.col(f"m{k}").alias("mean")) for k in range(dims)]
     return wide.select(by, "n", F.inline(F.array(*rows)))
 
 

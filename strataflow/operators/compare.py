@@ -45,7 +45,7 @@ def jensen_shannon(df: DataFrame, channel: str, low: float, high: float, bins: i
 def probability_bins(df: DataFrame, channel: str, bins: int, control: Column, test: Column) -> DataFrame:
     """Bins of equal control population (right-closed): chi square, T and percent positive, one row."""
     x = clean(F.col(channel))
-    cuts = df.where(control).agg(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("cuts"))
+    cuts = ordered.quantiles(df.where(control), [], {"x": x}, [k / bins for k in range(1, bins)]).select(F.col("q_x").alias("cuts"))
     rows = df.where(x.isNotNull() & (control | test)).crossJoin(F.broadcast(cuts))  # one row of bins - 1 cuts
     cells = rows.groupBy(F.size(F.filter("cuts", lambda c: c < x)).alias("bin")).agg(F.count_if(control).alias("a"), F.count_if(test).alias("b"))
     total = Window.partitionBy()

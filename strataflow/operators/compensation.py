@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.operators import ordered
 from strataflow.operators.statistics import clean
 
 
@@ -85,23 +86,19 @@ def spillover(df: DataFrame, control: str, positive: Column, channels: list[str]
 
     `control` names the channel that a control stains. One row per control and channel.
     """
-    medians = [F.percentile(F.when(side, clean(F.col(c))), F.lit(0.5)).alias(f"{c}__{k}") for c in channels for k, side in (("p", positive), ("n", ~positive))]
-    wide = df.where(F.col(control).isin(*channels)).groupBy(control).agg(*medians)
-    diff = lambda c: F.col(f"{c}__p") - F.col(f"{c}__n")
+    sides = {f"{c}_{k}": F.when(side, clean(F.col(c))) for c in channels for k, side in (("p", positive), ("n", ~positive))}
+    wide = ordered.quantiles(df.where(F.col(control).isin(*channels)), [control], sides, [0.5])
+    diff = lambda c: F.col(f"q_{c}_p")[0] - F.col(f"q_{c}_n")[0]
     own = F.coalesce(*[F.when(F.col(control) == c, diff(c)) for c in channels])
     return wide.select(control, F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.when(own != 0, diff(c) / own).alias("spill")) for c in channels])))
 
 
 def spreading(df: DataFrame, control: str, positive: Column, channels: list[str]) -> DataFrame:
     """Spreading error sqrt(σ²₊ - σ²₋) / sqrt(ΔF) with σ = p84.13 - p50; null where the variance does not grow."""
-    q = lambda c, side, p: F.percentile(F.when(side, clean(F.col(c))), F.lit(p))
-    parts = []
-    for c in channels:
-        for k, side in (("p", positive), ("n", ~positive)):
-            parts += [q(c, side, 0.5).alias(f"{c}__{k}50"), q(c, side, 0.8413).alias(f"{c}__{k}84")]
-    wide = df.where(F.col(control).isin(*channels)).groupBy(control).agg(*parts)
-    sigma = lambda c, k: F.col(f"{c}__{k}84") - F.col(f"{c}__{k}50")
-    step = F.coalesce(*[F.when(F.col(control) == c, F.col(f"{c}__p50") - F.col(f"{c}__n50")) for c in channels])
+    sides = {f"{c}_{k}": F.when(side, clean(F.col(c))) for c in channels for k, side in (("p", positive), ("n", ~positive))}
+    wide = ordered.quantiles(df.where(F.col(control).isin(*channels)), [control], sides, [0.5, 0.8413])
+    sigma = lambda c, k: F.col(f"q_{c}_{k}")[1] - F.col(f"q_{c}_{k}")[0]
+    step = F.coalesce(*[F.when(F.col(control) == c, F.col(f"q_{c}_p")[0] - F.col(f"q_{c}_n")[0]) for c in channels])
     grown = lambda c: sigma(c, "p") * sigma(c, "p") - sigma(c, "n") * sigma(c, "n")
     rows = [F.struct(F.lit(c).alias("channel"), F.when((grown(c) >= 0) & (step > 0), F.sqrt(grown(c)) / F.sqrt(step)).alias("spread")) for c in channels]
     return wide.select(control, F.inline(F.array(*rows)))

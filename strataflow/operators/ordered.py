@@ -10,18 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Buckets of a group: STEP coarse ones of STEP fine ones each.
+STEP = 16
+BUCKETS = STEP * STEP
 
 
-def bucketed(counted: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """`counted` with `bucket`, increasing with `value` inside each group; equal values share one."""
-    probabilities = [k / buckets for k in range(1, buckets)]
-    if by:
-        edges = counted.groupBy(*by).agg(F.percentile_approx(value, probabilities, 1000).alias("_edges"))
-        out = counted.join(edges, by)
-    else:
-        out = counted.crossJoin(F.broadcast(counted.agg(F.percentile_approx(value, probabilities, 1000).alias("_edges"))))  # one row
-    return out.withColumn("bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+def _place(value: Column, edge, low: int, high: int) -> Column:
+    """Number of the sorted edges low..high - 1 that lie below the value, as a balanced tree of comparisons."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(value <= edge(middle), _place(value, edge, low, middle)).otherwise(_place(value, edge, middle + 1, high))
+
+
+def bucketed(rows: DataFrame, by: list[str], value: str, edges_of: DataFrame | None = None) -> DataFrame:
+    """`rows` with `bucket`, increasing with `value` inside each group; equal values share one. The edges are approximate quantiles."""
+    source = rows if edges_of is None else edges_of
+    edge = F.percentile_approx(value, [k / BUCKETS for k in range(1, BUCKETS)], 1000).alias("_edges")
+    # One short array per group; without groups it is a single row.
+    out = rows.join(source.groupBy(*by).agg(edge), by) if by else rows.crossJoin(F.broadcast(source.agg(edge)))
+    # Two small trees instead of one large one keep the generated code short enough to be compiled.
+    out = out.withColumn("_coarse", _place(F.col(value), lambda k: F.col("_edges")[(k + 1) * STEP - 1], 0, STEP - 1))
+    fine = _place(F.col(value), lambda k: F.col("_edges")[F.col("_coarse") * STEP + k], 0, STEP - 1)
+    return out.withColumn("bucket", F.col("_coarse") * STEP + fine).drop("_edges", "_coarse")
 
 
 def cumulative(counted: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
@@ -70,3 +81,39 @@ def gaps(df: DataFrame, by: list[str], at: str, seconds: int = 86400) -> DataFra
     inside = F.lag("end").over(Window.partitionBy(*by, "day").orderBy("end"))
     rows = times.join(before, [*by, "day"]).select(*by, F.coalesce(inside, F.col("_before")).alias("start"), "end")
     return rows.where("start IS NOT NULL").withColumn("gap", F.col("end") - F.col("start"))
+
+
+def quantiles(df: DataFrame, by: list[str], columns: dict[str, Column], probabilities: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation: per group `n_<name>` and `q_<name>`, an array in the order of `probabilities`.
+
+    No task holds a group's values: they are counted per distinct value, parted into buckets, and only the
+    buckets that hold a wanted rank are ordered. Null values are dropped; groups without values have n 0 and null.
+    """
+    keys = [f"_by{k}" for k in range(len(by))]
+    parts = F.array(*[F.struct(F.lit(k).alias("_c"), c.cast("double").alias("_v")) for k, c in enumerate(columns.values())])
+    long = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.inline(parts))
+    present = long.select(*keys).distinct() if keys else None
+    nulls = [F.col(k).isNull().alias(f"{k}_null") for k in keys]  # null is a group like any other
+    long = long.where(F.col("_v").isNotNull()).select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], *nulls, "_c", "_v")
+    own = [*keys, *[f"{k}_null" for k in keys], "_c"]
+    counted = long.groupBy(*own, "_v").agg(F.count("*").alias("_n"))
+    rows = bucketed(counted, own, "_v", edges_of=long)
+    totals = rows.groupBy(*own, "bucket").agg(F.sum("_n").alias("_t"))
+    group = Window.partitionBy(*own)
+    offsets = totals.withColumns({"_o": F.coalesce(F.sum("_t").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_t").over(group)})
+    ranks = [x for q in probabilities for x in (F.floor((F.col("_all") - 1) * q), F.ceil((F.col("_all") - 1) * q))]
+    wanted = offsets.where(F.exists(F.array(*ranks), lambda r: (r >= F.col("_o")) & (r < F.col("_o") + F.col("_t"))))
+    inside = Window.partitionBy(*own, "bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(wanted, [*own, "bucket"]).withColumn("_end", F.col("_o") + F.sum("_n").over(inside))
+    at = lambda r: F.max(F.when((r < F.col("_end")) & (r >= F.col("_end") - F.col("_n")), F.col("_v")))
+    picked = placed.groupBy(*own).agg(F.max("_all").alias("_all"), *[at(r).alias(f"_r{k}") for k, r in enumerate(ranks)])
+    share = lambda q: (F.col("_all") - 1) * q - F.floor((F.col("_all") - 1) * q)
+    values = F.array(*[F.col(f"_r{2 * k}") + (F.col(f"_r{2 * k + 1}") - F.col(f"_r{2 * k}")) * share(q) for k, q in enumerate(probabilities)])
+    wide = picked.select(*own, "_all", values.alias("_q")).groupBy(*[c for c in own if c != "_c"])
+    out = wide.agg(*[x for k, name in enumerate(columns) for x in (F.max(F.when(F.col("_c") == k, F.col("_all"))).alias(f"n_{name}"), F.max(F.when(F.col("_c") == k, F.col("_q"))).alias(f"q_{name}"))])
+    numbers = {f"n_{name}": F.coalesce(F.col(f"n_{name}"), F.lit(0)) for name in columns}
+    if not keys:
+        return out.withColumns(numbers)
+    same = [(F.coalesce(F.col(f"a.{k}").cast("string"), F.lit("")) == F.col(f"b.{k}")) & (F.col(f"a.{k}").isNull() == F.col(f"b.{k}_null")) for k in keys]
+    joined = present.alias("a").join(out.alias("b"), same, "left")
+    return joined.select(*[F.col(f"a.{k}").alias(c) for c, k in zip(by, keys)], *[F.col(f"b.{p}_{name}").alias(f"{p}_{name}") for name in columns for p in ("n", "q")]).withColumns(numbers)

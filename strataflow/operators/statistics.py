@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.common import join_groups
+from strataflow.operators import ordered
+
 Z95 = 1.959963984540054
 INFINITE = (float("inf"), float("-inf"))
 
@@ -22,25 +25,31 @@ def ratio(a: Column, b: Column, times: float = 1.0) -> Column:
     return F.when(b != 0, F.lit(times) * a / b)
 
 
-#: Statistic id -> aggregate over a cleaned channel; statistics of two passes are functions of a table below.
-REGISTRY = {
+#: Statistic id -> aggregate over a cleaned channel.
+MOMENTS = {
     "count": lambda x: F.count(x),
-    "median": lambda x: F.percentile(x, F.lit(0.5)),
     "mean": lambda x: F.avg(x),
     "geomean": lambda x: F.exp(F.avg(F.when(x > 0, F.log(F.when(x > 0, x))))),
     "excluded": lambda x: F.count_if(x <= 0),
     "sd": lambda x: F.stddev_samp(x),
-    "rsd": lambda x: (F.percentile(x, F.lit(0.8413)) - F.percentile(x, F.lit(0.1587))) / 2,
     "cv": lambda x: ratio(F.stddev_samp(x), F.abs(F.avg(x)), 100.0),
-    "rcv": lambda x: ratio((F.percentile(x, F.lit(0.8413)) - F.percentile(x, F.lit(0.1587))) / 2, F.abs(F.percentile(x, F.lit(0.5))), 100.0),
     "min": lambda x: F.min(x),
     "max": lambda x: F.max(x),
-    "robust_sd": lambda x: F.percentile(x, F.lit(0.8413)) - F.percentile(x, F.lit(0.5)),
+}
+LOW, MIDDLE, HIGH = 0.1587, 0.5, 0.8413
+#: Statistic id -> expression over the array of the quantiles LOW, MIDDLE and HIGH.
+QUANTILES = {
+    "median": lambda q: q[1],
+    "rsd": lambda q: (q[2] - q[0]) / 2,
+    "rcv": lambda q: ratio((q[2] - q[0]) / 2, F.abs(q[1]), 100.0),
+    "robust_sd": lambda q: q[2] - q[1],
 }
 
 
-def percentile(x: Column, percent: float) -> Column:
-    return F.percentile(x, F.lit(percent / 100))
+def percentiles(df: DataFrame, by: list[str], channel: str, percents: list[float]) -> DataFrame:
+    """Exact percentiles per group as columns p<percent>; see `ordered.quantiles` for how groups of any size are handled."""
+    q = ordered.quantiles(df, by, {"x": clean(F.col(channel))}, [p / 100 for p in percents])
+    return q.select(*by, *[F.col("q_x")[k].alias(f"p{p:g}") for k, p in enumerate(percents)])
 
 
 def positive(x: Column, threshold: float) -> Column:
@@ -49,27 +58,29 @@ def positive(x: Column, threshold: float) -> Column:
 
 
 def describe(df: DataFrame, by: list[str], channels: list[str], stats: list[str]) -> DataFrame:
-    """One row per group and channel with the statistics asked for, from one aggregation of the input."""
-    aggregates = [REGISTRY[s](clean(F.col(c))).alias(f"{c}__{s}") for c in channels for s in stats]
-    wide = df.groupBy(*by).agg(*aggregates)
-    rows = [F.struct(F.lit(c).alias("channel"), *[F.col(f"{c}__{s}").cast("double").alias(s) for s in stats]) for c in channels]
-    return wide.select(*by, F.inline(F.array(*rows)))
+    """One row per group and channel with the statistics asked for: one aggregation, and one for all quantiles of all channels."""
+    wide = df.groupBy(*by).agg(F.count("*").alias("_all"), *[MOMENTS[s](clean(F.col(c))).alias(f"{c}__{s}") for c in channels for s in stats if s in MOMENTS])
+    if any(s in QUANTILES for s in stats):
+        wide = join_groups(wide, ordered.quantiles(df, by, {c: clean(F.col(c)) for c in channels}, [LOW, MIDDLE, HIGH]), by)
+    value = lambda c, s: (F.col(f"{c}__{s}") if s in MOMENTS else QUANTILES[s](F.col(f"q_{c}"))).cast("double").alias(s)
+    return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), *[value(c, s) for s in stats]) for c in channels])))
 
 
 def mad(df: DataFrame, by: list[str], channel: str, scale: float = 1.0) -> DataFrame:
-    """Median absolute deviation per group: medians first, then the deviations from the joined medians."""
+    """Median absolute deviation per group: medians first, then the medians of the deviations from them."""
     x = clean(F.col(channel))
-    middle = df.groupBy(*by).agg(F.percentile(x, F.lit(0.5)).alias("median"))
-    return df.join(middle, by).groupBy(*by).agg((F.percentile(F.abs(x - F.col("median")), F.lit(0.5)) * scale).alias("mad"))
+    middle = ordered.quantiles(df, by, {"x": x}, [0.5]).select(*by, F.col("q_x")[0].alias("_m"))
+    away = ordered.quantiles(join_groups(df, middle, by), by, {"d": F.abs(x - F.col("_m"))}, [0.5])
+    return away.select(*by, (F.col("q_d")[0] * scale).alias("mad"))
 
 
 def mode(df: DataFrame, by: list[str], channel: str, bins: int = 256) -> DataFrame:
     """Centre of the fullest of `bins` bins between the 0.5th and 99.5th percentile; the lowest wins ties."""
     x = clean(F.col(channel))
-    ends = df.groupBy(*by).agg(F.percentile(x, F.lit(0.005)).alias("low"), F.percentile(x, F.lit(0.995)).alias("high"))
+    ends = ordered.quantiles(df, by, {"x": x}, [0.005, 0.995]).select(*by, F.col("q_x")[0].alias("low"), F.col("q_x")[1].alias("high"))
     at = F.floor((x - F.col("low")) / (F.col("high") - F.col("low")) * bins)
     counted = (
-        df.join(ends, by)
+        join_groups(df, ends, by)
         .where(x.between(F.col("low"), F.col("high")) & (F.col("high") > F.col("low")))
         .groupBy(*by, "low", "high", F.least(at, F.lit(bins - 1)).alias("bin"))
         .count()
@@ -78,6 +89,13 @@ def mode(df: DataFrame, by: list[str], channel: str, bins: int = 256) -> DataFra
     return best.select(*by, (F.col("low") + (F.col("bin") + 0.5) * (F.col("high") - F.col("low")) / bins).alias("mode"))
 
 
+def stain_index(df: DataFrame, by: list[str], channel: str, positive: Column) -> DataFrame:
+    """(median of the positive - median of the negative) / (2 rSD of the negative)."""
+    x = clean(F.col(channel))
+    q = ordered.quantiles(df, by, {"p": F.when(positive, x), "n": F.when(~positive, x)}, [LOW, MIDDLE, HIGH])
+    return q.select(*by, ratio(F.col("q_p")[1] - F.col("q_n")[1], 2 * QUANTILES["rsd"](F.col("q_n"))).alias("stain_index"))
+
+
 def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, Column]:
     p = successes / trials
     middle, half = p + z * z / (2 * trials), z * F.sqrt(p * (1 - p) / trials + z * z / (4 * trials * trials))

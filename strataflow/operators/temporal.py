@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.common import join_groups
 from strataflow.operators import ordered
 from strataflow.operators.statistics import clean, ratio
 
@@ -16,7 +17,9 @@ def seconds(ts: str) -> Column:
 def bins(df: DataFrame, by: list[str], ts: str, value: str, width: float, least: int = 10) -> DataFrame:
     """Median, mean and count per time bin (`bin` from the epoch); null statistics in bins of fewer than `least` values."""
     x = clean(F.col(value))
-    own = df.where(F.col(ts).isNotNull()).groupBy(*by, F.floor(seconds(ts) / width).alias("bin")).agg(F.count(x).alias("n"), F.percentile(x, F.lit(0.5)).alias("median"), F.avg(x).alias("mean"))
+    rows = df.where(F.col(ts).isNotNull()).select(*by, F.floor(seconds(ts) / width).alias("bin"), x.alias("_x"))
+    means = rows.groupBy(*by, "bin").agg(F.avg("_x").alias("mean"))
+    own = join_groups(means, ordered.quantiles(rows, [*by, "bin"], {"x": F.col("_x")}, [0.5]), [*by, "bin"]).select(*by, "bin", F.col("n_x").alias("n"), F.col("q_x")[0].alias("median"), "mean")
     return own.select(*by, "bin", "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("median", "mean")])
 
 
@@ -34,7 +37,8 @@ def running_median(binned: DataFrame, by: list[str], value: str, half: int) -> D
 def pauses(df: DataFrame, by: list[str], ts: str, least: float = 2.0, times: float = 50.0) -> DataFrame:
     """The longest gap of each group that is at least max(`least` seconds, `times` the median gap) and away from the outer tenths."""
     gaps = ordered.gaps(df.withColumn("_at", seconds(ts)), by, "_at")
-    ends = gaps.groupBy(*by).agg(F.min("start").alias("t0"), F.max("end").alias("t1"), F.percentile("gap", F.lit(0.5)).alias("typical"))
+    typical = ordered.quantiles(gaps, by, {"gap": F.col("gap")}, [0.5]).select(*by, F.col("q_gap")[0].alias("typical"))
+    ends = join_groups(gaps.groupBy(*by).agg(F.min("start").alias("t0"), F.max("end").alias("t1")), typical, by)
     tenth = (F.col("t1") - F.col("t0")) / 10
     kept = gaps.join(ends, by).where((F.col("gap") >= F.greatest(F.lit(least), times * F.col("typical"))) & (F.col("start") >= F.col("t0") + tenth) & (F.col("end") <= F.col("t1") - tenth))
     best = kept.groupBy(*by).agg(F.max_by(F.struct("start", "end", "gap"), F.struct("gap", -F.col("start"))).alias("g"))
@@ -43,7 +47,8 @@ def pauses(df: DataFrame, by: list[str], ts: str, least: float = 2.0, times: flo
 
 def longest_gap(df: DataFrame, by: list[str], ts: str) -> DataFrame:
     gaps = ordered.gaps(df.withColumn("_at", seconds(ts)), by, "_at")
-    return gaps.groupBy(*by).agg(F.max("gap").alias("gap"), F.percentile("gap", F.lit(0.5)).alias("typical"))
+    typical = ordered.quantiles(gaps, by, {"gap": F.col("gap")}, [0.5]).select(*by, F.col("q_gap")[0].alias("typical"))
+    return join_groups(gaps.groupBy(*by).agg(F.max("gap").alias("gap")), typical, by)
 
 
 def drift(df: DataFrame, by: list[str], ts: str, channels: list[str], parts: int = 20) -> DataFrame:
@@ -52,8 +57,8 @@ def drift(df: DataFrame, by: list[str], ts: str, channels: list[str], parts: int
     ends = df.where(F.col(ts).isNotNull()).groupBy(*by).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
     part = F.least(F.lit(parts - 1), F.floor((at - F.col("_a")) / (F.col("_b") - F.col("_a")) * parts)).cast("int")
     rows = df.where(F.col(ts).isNotNull()).join(ends, by).where("_b > _a")
-    wide = rows.groupBy(*by, part.alias("part")).agg(*[F.percentile(clean(F.col(c)), F.lit(0.5)).alias(c) for c in channels])
-    return wide.select(*by, "part", F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("median")) for c in channels])))
+    wide = ordered.quantiles(rows.withColumn("part", part), [*by, "part"], {c: clean(F.col(c)) for c in channels}, [0.5])
+    return wide.select(*by, "part", F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"q_{c}")[0].alias("median")) for c in channels])))
 
 
 def theil_sen(medians: DataFrame, by: list[str]) -> DataFrame:
@@ -79,7 +84,7 @@ def overlapping_bins(df: DataFrame, by: list[str], order: list[str], value: str,
     numbered = numbered_rows(df, by, order)
     at = F.floor(F.col("row") / half)
     rows = numbered.select(*by, value, F.explode(F.when(at > 0, F.array(at, at - 1)).otherwise(F.array(at))).alias("bin"))
-    return rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.percentile(clean(F.col(value)), F.lit(0.5)).alias("median"))
+    return rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.percentile(clean(F.col(value)), F.lit(0.5)).alias("median"))  # `size` rows each
 
 
 def numbered_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

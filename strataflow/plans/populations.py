@@ -8,6 +8,7 @@ from strataflow.common import table
 from strataflow.functions import scales
 from strataflow.operators import compensation as comp
 from strataflow.operators import gates as G
+from strataflow.operators import ordered
 from strataflow.operators import statistics as S
 from strataflow.plans.queries import register
 
@@ -130,7 +131,7 @@ register("scale_hyperlog", _scaled(scales.hyperlog(10000.0, 0.5, 4.5, 0.5), "c_a
 register("scale_biex", _scaled(scales.biex(top=10000.0, width=-10.0), "c_acctbal"))
 register(
     "scale_logicle_width",
-    lambda s, d: table(s, d, "customer").groupBy("c_mktsegment").agg(F.percentile(F.when(F.col("c_acctbal") < 0, F.col("c_acctbal")), F.lit(0.05)).alias("r")).select("c_mktsegment", F.round(scales.logicle_width(F.col("r"), 262144.0), 8).alias("w")),
+    lambda s, d: ordered.quantiles(table(s, d, "customer"), ["c_mktsegment"], {"x": F.when(F.col("c_acctbal") < 0, F.col("c_acctbal"))}, [0.05]).select("c_mktsegment", F.round(scales.logicle_width(F.col("q_x")[0], 262144.0), 8).alias("w")),
     "SELECT c_mktsegment, round(CASE WHEN r IS NULL THEN 0.25 ELSE greatest(0, least((4.5 - log10(262144 / abs(r))) / 2, 2)) END, 8) AS w FROM (SELECT c_mktsegment, quantile_cont(c_acctbal, 0.05) FILTER (WHERE c_acctbal < 0) AS r FROM customer GROUP BY 1)",
 )
 
@@ -187,7 +188,7 @@ def _describe_sql(channel):
 
 
 register("stats_describe", _describe, " UNION ALL ".join(_describe_sql(c) for c in ("l_quantity", "l_extendedprice", "l_tax")))
-register("stats_percentiles", lambda s, d: _items(s, d).groupBy("l_returnflag").agg(*[F.round(S.percentile(F.col("l_extendedprice"), p), 6).alias(f"p{p}") for p in (1, 5, 25, 75, 95, 99)]), "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p / 100}), 6) AS p{p}" for p in (1, 5, 25, 75, 95, 99)) + " FROM lineitem GROUP BY 1")
+register("stats_percentiles", lambda s, d: S.percentiles(_items(s, d), ["l_returnflag"], "l_extendedprice", [1, 5, 25, 75, 95, 99]).select("l_returnflag", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (1, 5, 25, 75, 95, 99)]), "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p / 100}), 6) AS p{p}" for p in (1, 5, 25, 75, 95, 99)) + " FROM lineitem GROUP BY 1")
 register("stats_positive", lambda s, d: _items(s, d).groupBy("l_returnflag").agg(F.round(S.positive(F.col("l_extendedprice"), 40000.0), 6).alias("positive")), "SELECT l_returnflag, round(100.0 * count(*) FILTER (WHERE l_extendedprice >= 40000) / count(l_extendedprice), 6) AS positive FROM lineitem GROUP BY 1")
 register("stats_mad", lambda s, d: S.mad(_items(s, d), ["l_returnflag"], "l_extendedprice").withColumn("mad", F.round("mad", 6)), "SELECT l_returnflag, round(mad(l_extendedprice), 6) AS mad FROM lineitem GROUP BY 1")
 register(
@@ -199,7 +200,7 @@ SELECT l_returnflag, round(lo + (bin + 0.5) * (hi - lo) / 256, 4) AS mode FROM b
 )
 register(
     "stain_index",
-    lambda s, d: _items(s, d).groupBy("l_returnflag").agg(F.round((F.percentile(F.when(F.col("l_quantity") >= 25, F.col("l_extendedprice")), F.lit(0.5)) - F.percentile(F.when(F.col("l_quantity") < 25, F.col("l_extendedprice")), F.lit(0.5))) / (2 * S.REGISTRY["rsd"](F.when(F.col("l_quantity") < 25, F.col("l_extendedprice")))), 6).alias("stain_index")),
+    lambda s, d: S.stain_index(_items(s, d), ["l_returnflag"], "l_extendedprice", F.col("l_quantity") >= 25).withColumn("stain_index", F.round("stain_index", 6)),
     "SELECT l_returnflag, round((quantile_cont(l_extendedprice, 0.5) FILTER (WHERE l_quantity >= 25) - quantile_cont(l_extendedprice, 0.5) FILTER (WHERE l_quantity < 25)) / (2 * (quantile_cont(l_extendedprice, 0.8413) FILTER (WHERE l_quantity < 25) - quantile_cont(l_extendedprice, 0.1587) FILTER (WHERE l_quantity < 25)) / 2), 6) AS stain_index FROM lineitem GROUP BY 1",
 )
 
@@ -231,7 +232,7 @@ register(
 )
 register(
     "table_pivot",
-    lambda s, d: table(s, d, "lineitem", "l_returnflag", "l_linestatus", "l_extendedprice").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.round(F.percentile("l_extendedprice", F.lit(0.5)), 4)),
+    lambda s, d: S.percentiles(table(s, d, "lineitem", "l_returnflag", "l_linestatus", "l_extendedprice"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [50]).groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.round(F.max("p50"), 4)),
     "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5) FILTER (WHERE l_linestatus = 'F'), 4) AS \"F\", round(quantile_cont(l_extendedprice, 0.5) FILTER (WHERE l_linestatus = 'O'), 4) AS \"O\" FROM lineitem GROUP BY 1",
 )
 register(
