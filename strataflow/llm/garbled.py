@@ -88,6 +88,23 @@ def _decoded(name: str, byte: int) -> str:
         return chr(byte)
 
 
+class _Pairs(dict):
+    """Log probability of a pair's second character after its first, looked up once."""
+
+    def __init__(self, log_pairs: np.ndarray, log_left: np.ndarray):
+        super().__init__()
+        self.log_pairs, self.log_left = log_pairs, log_left
+
+    def bucket(self, pair: str) -> int:
+        return ((((ord(pair[0]) << 21) + ord(pair[1])) * int(_MULTIPLIER) & (1 << 64) - 1) >> 44) & (PAIR_BUCKETS - 1)
+
+    def __missing__(self, pair: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[pair] = float(self.log_pairs[self.bucket(pair)] - self.log_left[ord(pair[0]) % CHAR_BUCKETS])
+        return value
+
+
 class Mender:
     """Scores and inverse mappings under one corpus' counts."""
 
@@ -96,21 +113,27 @@ class Mender:
         self.total = float(max(pairs.sum(), 1))
         self.kinds = float(max((chars > 0).sum(), 1))
         self.encoders = [(name, _codec(name)) for name in DECODERS]
+        # Logarithms per bucket, so that a score is three look-ups a pair.
+        self.log_pairs = np.log(pairs + np.float32(0.05)).astype(np.float64)
+        self.log_left = np.log(chars + 0.2 * self.kinds)
+        self.known = _Pairs(self.log_pairs, self.log_left)
+        self.seen = frozenset(np.flatnonzero(chars).tolist())
         self.word = functools.lru_cache(maxsize=200_000)(self._word)
 
     def score(self, text: str) -> float:
         """Log probability: the sum of each pair's mutual information and its second character's log frequency."""
-        codes = _codes(f" {text} ")
-        both = self.pairs[_buckets(codes[:-1], codes[1:])] + 0.05
-        left = self.chars[codes[:-1] % CHAR_BUCKETS] + 0.2 * self.kinds
-        right = (self.chars[codes[1:] % CHAR_BUCKETS] + 0.2) / self.total
-        information = np.log(both) - np.log(left) - np.log(right)
-        return float((information + np.log(right)).sum())
+        # log p(b|a) = mutual information of the pair + log p(b); log p(b) cancels against the one in the information.
+        padded, known = f" {text} ", self.known
+        return sum([known[padded[i : i + 2]] for i in range(len(padded) - 1)])
+
+    def possible(self, text: str) -> bool:
+        """At most one kind of character that the corpus never has: with more, no text can win."""
+        return sum(ord(c) % CHAR_BUCKETS not in self.seen for c in set(text)) <= 1
 
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Maximum-scoring segments of improbable pairs, as places of the text."""
         codes = _codes(f" {text} ")
-        scores = (math.log(RARE) - np.log((self.pairs[_buckets(codes[:-1], codes[1:])] + 0.05) / self.total)).tolist()
+        scores = (math.log(RARE * self.total) - self.log_pairs[_buckets(codes[:-1], codes[1:])]).tolist()
         # All maximal segments: each keeps the sums before and behind it; a new one swallows those it can extend.
         kept: list[tuple[int, int, float, float]] = []
         total = 0.0
@@ -159,7 +182,7 @@ class Mender:
                     step = [*path, (wrong, original)]
                     if original == "utf-8" and depth == 1 and not back.isascii():
                         after.append((back, step))
-                    if _LEFT_BEHIND(back):
+                    if _LEFT_BEHIND(back) or not self.possible(back):
                         continue
                     need = GAIN_STRICT if original in MULTIBYTE else GAIN if _LETTER(word) and _LETTER(back) else GAIN_SYMBOL
                     gain = self.score(back) - base
