@@ -204,3 +204,17 @@ def self_organising_map(vectors: DataFrame, rows: int, columns: int, epochs: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int64)), pa.array(np.sqrt(d[np.arange(len(at)), at]))], names=[key, "node", "distance"])
 
     return vectors.select(key, vector).mapInArrow(place, f"{key} long, node long, distance double")
+
+
+def preserved(vectors: DataFrame, queries: DataFrame, low: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Share of each query's k nearest rows that are also among its k nearest in the low-dimensional `low` (an array column)."""
+    near = nearest(vectors, queries, k, key, vector).select("query", "neighbour")
+    other = nearest(vectors.select(key, low.alias("_low")), queries.select(key, low.alias("_low")), k, key, "_low").select("query", "neighbour", F.lit(1).alias("hit"))
+    return near.join(other, ["query", "neighbour"], "left").groupBy("query").agg((F.count("hit") / F.count("*")).alias("preserved"))
+
+
+def enrichment(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+    """Each group's mean per coordinate in standard deviations from the mean of all rows."""
+    long = vectors.select(by, F.posexplode(vector).alias("coordinate", "x"))
+    whole = long.groupBy("coordinate").agg(F.avg(F.col("x").cast("double")).alias("_m"), F.stddev_samp(F.col("x").cast("double")).alias("_s"))
+    return centroids(vectors, by, vector).join(whole, "coordinate").select(by, "coordinate", F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s")).alias("score"))

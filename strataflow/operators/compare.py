@@ -7,9 +7,15 @@ distribution functions of `functions.special` on the few result rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.common import join_groups
 from strataflow.operators import ordered
 from strataflow.operators.statistics import clean, ratio
 
@@ -168,3 +174,73 @@ def adjusted(tests: DataFrame, p: str, by: list[str] | None = None) -> DataFrame
     bh = F.least(one, F.min(F.col(p) * F.col("_n") / F.col("_k")).over(down))
     holm = F.least(one, F.max(F.col(p) * (F.col("_n") - F.col("_k") + 1)).over(up))
     return ranked.withColumns({"bh": bh, "holm": holm}).drop("_n", "_k")
+
+
+def sed(df: DataFrame, by: list[str], value: str, control: Column, test: Column) -> DataFrame:
+    """Percent positive by enhanced normalised subtraction of the two cumulative distributions."""
+    rows = ordered.steps(df, by, value, control, test)
+    first = rows.groupBy(*by).agg(F.max_by(F.struct(F.col(value).alias("x"), "c", "t"), F.struct(F.col("c") - F.col("t"), -F.col(value))).alias("d"))
+    near = join_groups(rows, first, by).where((F.col(value) <= F.col("d.x")) & (F.col("d.c") > 0) & (F.col("d.t") > 0))
+    lead = F.col("c") / F.col("d.c") - F.col("t") / F.col("d.t")
+    second = near.groupBy(*by).agg(F.max_by(F.struct("c", "t"), F.struct(lead, -F.col(value))).alias("s"))
+    both = join_groups(first, second, by)
+    c, t, c2, t2 = F.col("d.c"), F.col("d.t"), F.coalesce(F.col("s.c"), F.lit(0.0)), F.coalesce(F.col("s.t"), F.lit(0.0))
+    return both.select(*by, (100 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio(c - t, c) + ratio(c2 * t - c * t2, c * c)))).alias("percent"))
+
+
+def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Correlation of average ranks."""
+    both = df.where(clean(F.col(x)).isNotNull() & clean(F.col(y)).isNotNull()).select(*by, x, y)
+    for c in (x, y):
+        counted = both.groupBy(*by, c).agg(F.count("*").alias("_n"))
+        ranks = ordered.cumulative(counted, by, c, ["_n"]).select(*by, c, (F.col("cum__n") - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
+        both = both.join(ranks, [*by, c])
+    return both.groupBy(*by).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("spearman"))
+
+
+def friedman(df: DataFrame, block: str, group: str, channel: str, levels: list) -> DataFrame:
+    """Friedman's chi square over the blocks' mean per level (complete blocks only), one row. A block has one row per level."""
+    means = df.where(F.col(group).isin(*levels)).groupBy(block, group).agg(F.avg(clean(F.col(channel))).alias("m")).where("m IS NOT NULL")
+    inside = Window.partitionBy(block)
+    ties = F.count("*").over(Window.partitionBy(block, "m"))
+    ranked = means.withColumns({"k": F.count("*").over(inside), "rank": F.rank().over(inside.orderBy("m")) + (ties - 1) / 2}).where(F.col("k") == len(levels))
+    sums = ranked.groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("n"))
+    k = len(levels)
+    return sums.agg((12 / (F.max("n") * k * (k + 1)) * F.sum(F.col("r") * F.col("r")) - 3 * F.max("n") * (k + 1)).alias("chi2"), F.lit(k - 1).alias("df"))
+
+
+def regression(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    a, b = clean(F.col(y)), clean(F.col(x))
+    return df.groupBy(*by).agg(F.regr_slope(a, b).alias("slope"), F.regr_intercept(a, b).alias("intercept"), F.regr_r2(a, b).alias("r2"))
+
+
+def bootstrap_mean(df: DataFrame, by: list[str], key: list[str], channel: str, replicates: int = 100, seed: int = 1) -> DataFrame:
+    """Percentile interval of the mean from Poisson weights, all replicates in one scan.
+
+    A row's weights come from the hash of its key, so they do not depend on how rows are spread. Each batch
+    sums its weights per group and replicate; only those sums are shuffled.
+    """
+    ends = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+    rows = df.where(clean(F.col(channel)).isNotNull()).select(*by, clean(F.col(channel)).alias("_x"), F.xxhash64(F.lit(seed), *key).alias("_h"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        salt = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for pdf in batches:
+            mixed = pdf["_h"].to_numpy().astype(np.uint64)[:, None] ^ salt
+            for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+                mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+            weight = np.searchsorted(ends, (mixed >> np.uint64(11)).astype(float) / float(1 << 53), side="right").astype(float)
+            for _, part in pdf.groupby(by, dropna=False, sort=False).indices.items() if by else [(None, np.arange(len(pdf)))]:
+                w, x = weight[part], pdf["_x"].to_numpy()[part]
+                out = pd.DataFrame({"_r": np.arange(replicates), "_w": w.sum(axis=0), "_s": x @ w})
+                for c in by:
+                    out[c] = [pdf[c].iloc[part[0]]] * replicates
+                yield out[[*by, "_r", "_w", "_s"]]
+
+    kinds = dict(df.dtypes)
+    sums = rows.mapInPandas(run, ", ".join([*[f"{c} {kinds[c]}" for c in by], "_r int, _w double, _s double"]))
+    means = sums.groupBy(*by, "_r").agg((F.sum("_s") / F.sum("_w")).alias("m")).groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("m"))  # one number a replicate
+    whole = rows.groupBy(*by).agg(F.avg("_x").alias("mean"))
+    out = join_groups(whole, means, by)
+    at = lambda q: F.try_element_at("m", F.lit(1 + int(round(q * (replicates - 1)))))
+    return out.select(*by, "mean", at(0.025).alias("low"), at(0.975).alias("high"))

@@ -46,7 +46,7 @@ register("sample_roles", lambda s, d: _samples(s, d, "name").groupBy(X.role(F.co
 register("name_matches", lambda s, d: J.matched(table(s, d, "supplier").select(F.concat(F.lit("Maker of "), F.col("s_name")).alias("name")).unionByName(table(s, d, "supplier").select(F.upper("s_name").alias("name"))), table(s, d, "supplier").select(F.col("s_name").alias("name")), "name", [F.col("name"), F.lower("name"), X.normalised(F.regexp_replace("name", "^Maker of ", ""))]),
     "WITH k AS (SELECT s_name AS name, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS n FROM supplier), w AS (SELECT 'Maker of ' || s_name AS wanted, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS n FROM supplier UNION ALL SELECT upper(s_name), lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) FROM supplier) SELECT wanted, min(name) AS match FROM w JOIN k USING (n) GROUP BY ALL")
 register("plate_duplicates", lambda s, d: J.duplicates(rejects.valid_rows(table(s, d, "layout_lines", "line_id", "file_name", "line_no", "raw")), ["file_name", "plate", "well_row", "well_column"]))
-register("plate_map", lambda s, d: table(s, d, "part").groupBy("p_brand").pivot("p_size", list(range(1, 13))).agg(F.count("*")).fillna(0),
+register("plate_map", lambda s, d: table(s, d, "part").groupBy("p_brand").pivot("p_size", list(range(1, 13))).count().fillna(0),
     "SELECT p_brand, " + ", ".join(f"count(*) FILTER (WHERE p_size = {k}) AS \"{k}\"" for k in range(1, 13)) + " FROM part GROUP BY 1")
 register("doses", lambda s, d: rejects.valid_rows(table(s, d, "layout_lines", "line_id", "file_name", "line_no", "raw")).where("dose IS NOT NULL AND unit IN ('nM', 'µM')").select("line_id", X.quantity(F.concat_ws(" ", F.col("dose").cast("string"), "unit")).alias("q")).select("line_id", "q.value", "q.unit", F.round(F.log10(F.when(F.col("q.base") > 0, F.col("q.base"))), 6).alias("log_base")))
 
