@@ -92,7 +92,7 @@ def quantiles(df: DataFrame, by: list[str], columns: dict[str, Column], probabil
     keys = [f"_by{k}" for k in range(len(by))]
     parts = F.array(*[F.struct(F.lit(k).alias("_c"), c.cast("double").alias("_v")) for k, c in enumerate(columns.values())])
     long = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.inline(parts))
-    present = long.select(*keys).distinct() if keys else None
+    present = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)]).distinct() if keys else None
     nulls = [F.col(k).isNull().alias(f"{k}_null") for k in keys]  # null is a group like any other
     long = long.where(F.col("_v").isNotNull()).select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], *nulls, "_c", "_v")
     own = [*keys, *[f"{k}_null" for k in keys], "_c"]
