@@ -1,10 +1,11 @@
 """Text that was decoded with the wrong character encoding: find it and restore the original where it still can be.
 
-The whole corpus is read once for the counts of adjacent character pairs. From them come the pairs' mutual
-information and the characters' frequencies, hence how probable a text is. In each value the runs of
-improbable pairs are isolated as maximum-scoring segments and widened to whole words; only there are the
-inverse mappings tested: encode with a wrong decoder, decode with a likely original encoding, twice if
-need be. A word is garbled if an inverse reads as clearly more probable text of this corpus.
+The distinct values of the whole corpus are read once for the counts of adjacent character pairs, so a value
+that many rows share or that is delivered again counts once and cannot make itself normal. From them come
+the pairs' mutual information and the characters' frequencies, hence how probable a text is. In every word
+that is not ASCII alone the inverse mappings are tested: encode with a wrong decoder, decode with a likely
+original encoding, twice if need be. A word is garbled if an inverse reads as clearly more probable text of
+this corpus.
 
 Characters that only a wrong decoding leaves behind (the replacement character, C1 controls) mark a
 value as garbled too, also where the original is lost.
@@ -58,18 +59,18 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pair and character counts of a batch of maps; characters have negative buckets."""
+    """Pair and character counts of a batch of values; characters have negative buckets."""
     for batch in batches:
-        values = [v for m in batch.column(0).to_pylist() if m for _, v in m if v]
-        codes = _codes(" " + "  ".join(values) + " ")
+        codes = _codes(" " + "  ".join(batch.column(0).to_pylist()) + " ")
         pairs, n = np.unique(_buckets(codes[:-1], codes[1:]), return_counts=True)
         chars, m = np.unique(codes[:-1] % CHAR_BUCKETS, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[pairs, -1 - chars.astype(np.int64)]), pa.array(np.r_[n, m].astype(np.int64))], names=["bucket", "n"])
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
-    """`bucket`, `n` over all keyword values; at most PAIR_BUCKETS + CHAR_BUCKETS rows."""
-    return samples.select("keywords").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    """`bucket`, `n` over all distinct keyword values; at most PAIR_BUCKETS + CHAR_BUCKETS rows."""
+    values = samples.select(F.explode(F.map_values("keywords")).alias("value")).where("value <> ''").distinct()
+    return values.mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def _codec(name: str):
@@ -131,7 +132,7 @@ class Mender:
         return sum(ord(c) % CHAR_BUCKETS not in self.seen for c in set(text)) <= 1
 
     def runs(self, text: str) -> list[tuple[int, int]]:
-        """Maximum-scoring segments of improbable pairs, as places of the text."""
+        """Maximum-scoring segments of improbable pairs (by their joint frequency), as places of the text."""
         codes = _codes(f" {text} ")
         scores = (math.log(RARE * self.total) - self.log_pairs[_buckets(codes[:-1], codes[1:])]).tolist()
         # All maximal segments: each keeps the sums before and behind it; a new one swallows those it can extend.
@@ -242,13 +243,9 @@ class Mender:
         """Whether a value is garbled, and its original if it can be restored."""
         if not text or text.isascii():
             return False, None
-        runs = self.runs(text)
-        out, at, hit, whole, k, path = [], 0, False, True, 0, None
+        out, hit, whole, path = [], False, True, None
         for word in text.split(" "):
-            end = at + len(word)
-            while k < len(runs) and runs[k][1] <= at:
-                k += 1
-            if not word.isascii() and k < len(runs) and runs[k][0] < end:
+            if not word.isascii():
                 back = self.word(word) if len(word) <= 256 else self._word(word)
                 if back is not None:
                     hit, (word, own) = True, back
@@ -256,7 +253,6 @@ class Mender:
             if _LEFT_BEHIND(word):
                 hit, whole = True, False
             out.append(word)
-            at = end + 1
         if hit and path:
             before = text.split(" ")
             out = [self.follow(w, path) or w if w == b and not w.isascii() else w for w, b in zip(out, before)]

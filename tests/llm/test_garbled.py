@@ -67,3 +67,18 @@ def test_runs_are_maximal_scoring_segments(mender):
     assert any(text[a:b].strip() and "¥" in text[a:b] for a, b in runs)
     best = max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))
     assert any(abs(sum(scores[max(a, 0) if a == 0 else a + 1 : b]) - best) < 1e-6 or abs(sum(scores[i:j]) - best) < 1e-6 for a, b in runs for i in (a, a + 1) for j in (b, b + 1))
+
+
+def test_value_that_many_rows_share(spark):
+    """A garbled value in a third of the rows, and redelivered, does not train the model to call it normal."""
+    clean = [f"{p} {k}" for k in range(30) for p in [*PHRASES, "Gerät", "Prüfgerät", "образец"]]
+    for bad, good in (("GerÃ¤t", "Gerät"), ("образец".encode("cp1251").decode("koi8-r"), "образец")):
+        df = table(spark, [{"note": v} for v in clean + [bad] * (len(clean) // 2)])
+        got = G.garbled(df.unionByName(df)).collect()
+        assert {(r.value, r.restored) for r in got} == {(bad, good)} and len(got) == len(clean) // 2
+
+
+def test_few_distinct_values(spark):
+    """In a corpus so small that each of its pairs is frequent, garbled words are still tested."""
+    got = G.garbled(table(spark, [{"note": v} for v in ["Gerät", "Prüfgerät", "GerÃ¤t"]])).collect()
+    assert [(r.value, r.restored) for r in got] == [("GerÃ¤t", "Gerät")]
