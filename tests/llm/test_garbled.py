@@ -82,3 +82,12 @@ def test_few_distinct_values(spark):
     """In a corpus so small that each of its pairs is frequent, garbled words are still tested."""
     got = G.garbled(table(spark, [{"note": v} for v in ["Gerät", "Prüfgerät", "GerÃ¤t"]])).collect()
     assert [(r.value, r.restored) for r in got] == [("GerÃ¤t", "Gerät")]
+
+
+def test_words_of_a_script_that_the_corpus_lacks(spark):
+    """The original may hold any number of characters that are nowhere else in the corpus."""
+    words = ["ขอบคุณ", "日本橋"]
+    bad = {"".join(G._decoded("cp1252", b) for b in w.encode()): w for w in words}
+    clean = [f"{p} {k}" for k in range(30) for p in PHRASES if not set(p) & set("".join(words))]
+    got = {r.value: r.restored for r in G.garbled(table(spark, [{"note": v} for v in clean + list(bad)])).collect()}
+    assert got == bad
