@@ -89,20 +89,26 @@ def shared_neighbour_graph(neighbours: DataFrame) -> DataFrame:
     return both.select(low.alias("a"), high.alias("b"), weight.alias("weight")).distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
-    """Connected components by spreading the smallest label, halving paths each round; lineage is cut by checkpoints."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Connected components by spreading the smallest label until none changes; lineage is cut by checkpoints.
+
+    Each round a row takes the smallest label of its neighbours, hands it to the row whose id is its own label (the root),
+    and jumps to its label's label; so labels cross finished clusters at once and even long paths take few rounds.
+    """
+    known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = known.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(known.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
     both = cut(both)
     labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c"))
-    for _ in range(rounds):
+    changed = 1
+    while changed:
         near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        step = labels.join(near, "u").select("u", F.least("c", "m").alias("n"), "c")
-        jump = step.alias("s").join(labels.select(F.col("u").alias("n"), F.col("c").alias("j")), "n", "left").select("u", F.coalesce(F.least("n", "j"), F.col("n")).alias("n"), "c")
+        sent = labels.join(near, "u")
+        roots = sent.groupBy(F.col("c").alias("u")).agg(F.min("m").alias("h"))
+        step = sent.join(roots, "u", "left").select("u", F.least("c", "m", "h").alias("n"), "c")
+        jump = step.alias("s").join(labels.select(F.col("u").alias("n"), F.col("c").alias("j")), "n", "left").select("u", F.least("n", "j").alias("n"), "c")
         new = cut(jump)
         changed = new.where("n != c").limit(1).count()
         labels = new.select("u", F.col("n").alias("c"))
-        if not changed:
-            break
     return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 

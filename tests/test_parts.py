@@ -91,6 +91,15 @@ def test_as_of_and_spans_against_loops(spark):
         assert gap == max((y - x).total_seconds() for x, y in zip(times, times[1:]))
 
 
+def test_components_of_long_paths(spark):
+    """Paths whose ids don't rise along the chain are one component each, however long they are."""
+    falling = [1, *range(1000, 1, -1)]
+    shuffled = (10_000 + np.random.default_rng(3).permutation(5000)).tolist()
+    edges = [e for p in (falling, shuffled) for e in zip(p, p[1:])] + [(5, None)]
+    got = {r.node: r.component for r in K.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == dict.fromkeys(falling, 1) | dict.fromkeys(shuffled, 10_000)
+
+
 def test_components_and_neighbours_against_loops(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(k, k + 1) for k in range(100, 140)]
