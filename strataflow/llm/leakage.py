@@ -26,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 12
@@ -66,18 +66,20 @@ def _roll(x: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """The vocabulary and window hashes of one block of items."""
+    """The vocabulary and window hashes of one block of items; `common` are the words that several items share, of any block."""
 
-    def __init__(self, passages: list[tuple[int, str]]):
+    def __init__(self, passages: list[tuple[int, str]], common: list[str] | None = None):
         split = [(i, words_of(p)) for i, p in passages]
         shared = Counter(w for _, ws in split for w in set(ws))
-        literal = {w for w, n in shared.items() if n > 1 and not any(c.isdigit() for c in w)} - UNITS
+        several = [w for w, n in shared.items() if n > 1] if common is None else common
+        literal = {w for w in several if not any(c.isdigit() for c in w)} - UNITS
+        shared.update(literal)
         #: Word -> (symbol in the template, own number): both positive for words of the items.
         self.own = {w: k + 1 for k, w in enumerate(sorted(shared))}
         self.symbol = np.zeros(len(self.own) + 1, np.int64)
         for w, k in self.own.items():
             self.symbol[k] = k + 10 if w in literal else self.kind(w)
-        self.items = [(i, t, s, " ".join(ws[k : k + WINDOW]), self.slots(ws, k)) for i, ws in split for k, t, s, _ in self.windows([ws])]
+        self.items = [(i, t, s, " ".join(ws[k : k + WINDOW]), self.slots(ws, k), part, k) for part, (i, ws) in enumerate(split) for k, t, s, _ in self.windows([ws])]
         self.hashes = np.unique(np.array([t for _, t, *_ in self.items], np.int64))
 
     @staticmethod
@@ -118,9 +120,24 @@ class Templates:
         return zip(at.tolist(), template.tolist(), slots.tolist(), owner.tolist())
 
 
+def _kept(items: DataFrame) -> DataFrame:
+    return items.where("item_id IS NOT NULL AND passage IS NOT NULL").select("item_id", "passage").distinct()
+
+
+def _common(items: DataFrame) -> list[str]:
+    """The words that several items share, over all blocks; they grow with the items' vocabulary only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [w for p in batch.column(0).to_pylist() for w in set(words_of(p))]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+
+    return [r.word for r in _kept(items).select("passage").mapInArrow(run, "word string").groupBy("word").count().where("count > 1").select("word").collect()]
+
+
 def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
     """The items in blocks of at most about BLOCK."""
-    kept = items.where("item_id IS NOT NULL AND passage IS NOT NULL").select("item_id", "passage").distinct()
+    kept = _kept(items)
     number = -(-kept.count() // BLOCK)
     for k in range(number):
         part = kept if number == 1 else kept.where(F.pmod(F.xxhash64("item_id"), F.lit(number)) == k)
@@ -159,7 +176,7 @@ def _matches(documents: DataFrame, templates: Templates, verbatim: bool) -> Data
 
 
 def _item_windows(spark, templates: Templates) -> DataFrame:
-    return spark.createDataFrame(templates.items, "item_id long, template long, slot_hash long, words string, slots array<string>")
+    return spark.createDataFrame(templates.items, "item_id long, template long, slot_hash long, words string, slots array<string>, part long, item_place long")
 
 
 def _union(parts: list[DataFrame], spark, schema: str) -> DataFrame:
@@ -173,28 +190,44 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     for block in _blocks(items):
         templates = Templates(block)
         found = _matches(documents, templates, verbatim=True).drop("slots", "place").distinct()
-        own = _item_windows(spark, templates).drop("slots").distinct()
+        own = _item_windows(spark, templates).drop("slots", "part", "item_place").distinct()
         parts.append(found.join(own, ["template", "slot_hash", "words"]).select("doc_id", "item_id"))
     return _union(parts, spark, "doc_id long, item_id long")
 
 
-def reparameterised(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that hold a question of the items with other values: `doc_id`, `item_id` (the smallest item with that template), `windows` and `changed` slots.
+def _copies(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Runs of successive windows that an item's template matches and in which each value of the item stands for one value: `doc_id`, `start`, `item_id`, `changed`.
 
-    Kept are pairs whose windows replace each value of the item by one other value throughout and change at least one.
+    A run has one offset between its places and the item's, so it is no longer than the passage; 0 `changed` slots are a verbatim run.
     """
     spark = documents.sparkSession
+    common = _common(items)
+    run = ["doc_id", "item_id", "part", "offset"]
     parts = []
     for block in _blocks(items):
-        templates = Templates(block)
-        found = _matches(documents, templates, verbatim=False)
-        own = _item_windows(spark, templates).groupBy("template").agg(F.min_by(F.struct("item_id", "slots"), "item_id").alias("i"))
-        pairs = found.join(own, "template").select("doc_id", "place", F.col("i.item_id").alias("item_id"), F.explode(F.arrays_zip(F.col("slots").alias("new"), F.col("i.slots").alias("old"))).alias("s"))
-        values = pairs.groupBy("doc_id", "item_id", F.col("s.old").alias("old")).agg(F.min("s.new").alias("low"), F.max("s.new").alias("high"), F.count("*").alias("n"))
+        templates = Templates(block, common)
+        found = _matches(documents, templates, verbatim=False).select("doc_id", "place", "template", F.col("slots").alias("new"))
+        own = _item_windows(spark, templates).select("item_id", "part", "item_place", "template", F.col("slots").alias("old"))
+        pairs = found.join(own, "template").select("doc_id", "item_id", "part", (F.col("place") - F.col("item_place")).alias("offset"), "place", F.arrays_zip("new", "old").alias("slots"))
+        # Rows of one run are no more than the windows of one passage; redelivered documents share their rank.
+        at = F.dense_rank().over(Window.partitionBy(*run).orderBy("place"))
+        placed = pairs.withColumn("start", F.col("place") - at).select(*run, "start", "place", F.explode_outer("slots").alias("s"))
+        values = placed.groupBy(*run, "start", F.col("s.old").alias("old")).agg(F.min("s.new").alias("low"), F.max("s.new").alias("high"), F.min("place").alias("place"))
         parts.append(
-            values.groupBy("doc_id", "item_id")
-            .agg(F.count_if(F.col("low") != F.col("high")).alias("mixed"), F.count_if((F.col("low") == F.col("high")) & (F.col("low") != F.col("old"))).alias("changed"))
-            .where("mixed = 0 AND changed > 0")
-            .select("doc_id", "item_id", "changed")
+            values.groupBy(*run, "start")
+            .agg(F.count_if(F.col("low") != F.col("high")).alias("mixed"), F.count_if((F.col("low") == F.col("high")) & (F.col("low") != F.col("old"))).alias("changed"), F.min("place").alias("place"))
+            .where("mixed = 0")
+            .select("doc_id", F.col("place").alias("start"), "item_id", "changed")
         )
-    return _union(parts, spark, "doc_id long, item_id long, changed long")
+    return _union(parts, spark, "doc_id long, start long, item_id long, changed long")
+
+
+def reparameterised_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """`doc_id` and each `item_id` whose question the document holds with other values, and the most `changed` slots of one copy."""
+    return _copies(documents, items).where("changed > 0").groupBy("doc_id", "item_id").agg(F.max("changed").alias("changed"))
+
+
+def reparameterised(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """As `reparameterised_pairs`, but each copy is held against the smallest item that it fits only, and none if that is verbatim."""
+    smallest = _copies(documents, items).groupBy("doc_id", "start").agg(F.min(F.struct("item_id", "changed")).alias("i")).select("doc_id", "i.*")
+    return smallest.where("changed > 0").groupBy("doc_id", "item_id").agg(F.max("changed").alias("changed"))

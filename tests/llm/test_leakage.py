@@ -49,6 +49,18 @@ def test_reparameterised(spark):
     assert got == {(1, 10)}
 
 
+def test_every_item_and_every_copy(spark, monkeypatch):
+    """All items of a template are reported, each copy is checked by itself, and the blocks of items change nothing."""
+    copies = [PASSAGE.replace("Croewick", a).replace("666", b) for a, b in (("Lonwick", "12"), ("Farwick", "99"))]
+    items = [(10, PASSAGE), (13, OTHER), (14, OTHER.replace("Wexford", "Oxley"))]
+    docs = [(1, copies[0]), (2, " nothing much ".join(copies)), (3, copies[0] + " nothing much " + PASSAGE), (4, "nothing like it")]
+    want = {(d, i) for d in (1, 2, 3) for i in (10, 13, 14)}
+    for block in (L.BLOCK, 1):
+        monkeypatch.setattr(L, "BLOCK", block)
+        got = [(r.doc_id, r.item_id) for r in L.reparameterised_pairs(*frames(spark, docs, items)).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_empty_tables(spark):
     docs, items = frames(spark, [(1, PASSAGE)], [(10, PASSAGE)])
     assert L.leaked(docs.limit(0), items).count() == 0
