@@ -163,17 +163,26 @@ def association(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def adjusted(tests: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg and Holm adjusted p values of a family of tests (one row per test, families are small)."""
-    by = by or []
-    n = F.count("*").over(Window.partitionBy(*by))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(p))
-    ranked = tests.withColumn("_n", n).withColumn("_k", place)
-    down = Window.partitionBy(*by).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    one = F.lit(1.0)
-    bh = F.least(one, F.min(F.col(p) * F.col("_n") / F.col("_k")).over(down))
-    holm = F.least(one, F.max(F.col(p) * (F.col("_n") - F.col("_k") + 1)).over(up))
-    return ranked.withColumns({"bh": bh, "holm": holm}).drop("_n", "_k")
+    """Benjamini-Hochberg and Holm adjusted p values of a family of tests (one row per test); tests without p are none of the family.
+
+    Equal p values have equal adjusted ones, so they are found per distinct p, and no task holds a family.
+    """
+    key = ["_g"] if by else []
+    rows = tests.withColumn("_g", F.to_json(F.struct(*by))) if by else tests  # null is a group like any other
+    counted = rows.where(F.col(p).isNotNull()).groupBy(*key, p).agg(F.count("*").alias("_n"))
+    ranked = join_groups(ordered.cumulative(counted, key, p, ["_n"]), counted.groupBy(*key).agg(F.sum("_n").alias("_all")), key)
+    bh, holm = F.col(p) * F.col("_all") / F.col("cum__n"), F.col(p) * (F.col("_all") - F.col("cum__n") + F.col("_n"))
+    scored = ordered.bucketed(ranked.select(*key, p, bh.alias("_b"), holm.alias("_h")), key, p)
+    # Running min from above and max from below: over the few buckets of a family, then inside each bucket.
+    over, inside = Window.partitionBy(*key).orderBy("bucket"), Window.partitionBy(*key, "bucket").orderBy(p)
+    totals = scored.groupBy(*key, "bucket").agg(F.min("_b").alias("_low"), F.max("_h").alias("_high"))
+    offsets = totals.select(
+        *key, "bucket", F.min("_low").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"), F.max("_high").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before")
+    )
+    least = F.least(F.lit(1.0), F.min("_b").over(inside.rowsBetween(0, Window.unboundedFollowing)), "_after")
+    most = F.least(F.lit(1.0), F.greatest(F.max("_h").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_before"))
+    found = scored.join(offsets, [*key, "bucket"]).select(*key, p, least.alias("bh"), most.alias("holm"))
+    return join_groups(rows, found, [*key, p]).drop("_g")
 
 
 def sed(df: DataFrame, by: list[str], value: str, control: Column, test: Column) -> DataFrame:

@@ -91,6 +91,31 @@ def test_as_of_and_spans_against_loops(spark):
         assert gap == max((y - x).total_seconds() for x, y in zip(times, times[1:]))
 
 
+def test_adjusted_p_spreads_a_family(spark):
+    """Against a loop, with ties, groups and null; and the tests of one family do not end in one task."""
+    ps = [round(float(x), 3) for x in np.random.default_rng(8).random(1500) ** 2]
+    n, order = len(ps), sorted(ps)
+    want, low, high = {}, 1.0, 0.0
+    for k in range(n, 0, -1):
+        low = min(low, order[k - 1] * n / k)
+        want[order[k - 1]] = [low, 0]
+    for k in range(1, n + 1):
+        high = max(high, order[k - 1] * (n - k + 1))
+        want[order[k - 1]][1] = min(1.0, high)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = C.adjusted(spark.createDataFrame([(k, x) for k, x in enumerate(ps)], "id long, p double").repartition(4), "p")
+        assert df.groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    twice = spark.createDataFrame([(g, x) for g in (None, 1) for x in [*ps, None]], "g long, p double")
+    for rows, size in ((df, n), (C.adjusted(twice, "p", ["g"]), 2 * n + 2)):
+        got = rows.collect()
+        assert len(got) == size
+        for r in got:
+            assert (r.bh is None and r.holm is None) if r.p is None else (r.bh, r.holm) == pytest.approx(tuple(want[r.p]))
+
+
 def test_components_of_long_paths(spark):
     """Paths whose ids don't rise along the chain are one component each, however long they are."""
     falling = [1, *range(1000, 1, -1)]
