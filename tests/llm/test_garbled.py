@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
@@ -61,8 +62,7 @@ def test_lost_bytes_are_found_but_not_invented(mender):
 def test_runs_are_maximal_scoring_segments(mender):
     """Each run's sum is positive, and neither a longer nor a shorter piece about it scores more."""
     text = "overnight stain Ø¥µß stain"
-    codes = G._codes(f" {text} ")
-    scores = (np.log(G.RARE) - np.log((mender.pairs[G._buckets(codes[:-1], codes[1:])] + 0.05) / mender.total)).tolist()
+    scores = mender.improbable(text)
     runs = mender.runs(text)
     assert any(text[a:b].strip() and "¥" in text[a:b] for a, b in runs)
     best = max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))
@@ -91,3 +91,66 @@ def test_words_of_a_script_that_the_corpus_lacks(spark):
     clean = [f"{p} {k}" for k in range(30) for p in PHRASES if not set(p) & set("".join(words))]
     got = {r.value: r.restored for r in G.garbled(table(spark, [{"note": v} for v in clean + list(bad)])).collect()}
     assert got == bad
+
+
+def test_information_is_of_joint_and_single_shares(mender):
+    """The score of a pair falls with the log of its joint share over the product of its characters' shares."""
+    codes = G._codes("  ".join(PHRASES * 200))
+    n = len(codes)
+    share = lambda c: np.sum(codes == ord(c)) / n
+    for pair in ("st", "ов", "é ", "öo"):
+        joint = np.sum((codes[:-1] == ord(pair[0])) & (codes[1:] == ord(pair[1]))) / n
+        want = np.log((joint + G.PAIR_SHARE) / ((share(pair[0]) + G.CHAR_SHARE) * (share(pair[1]) + G.CHAR_SHARE)))
+        assert mender.information[pair] == pytest.approx(want, abs=0.05)
+
+
+def test_inverses_are_tested_inside_the_runs_only(spark, monkeypatch):
+    """Most words beyond ASCII hold no run, and what is tried of the others begins and ends with a character beyond ASCII."""
+    values = [f"{p} {k}" for k in range(40) for p in PHRASES] + ["xx GerÃ¤t yy", "Gerät"] * 3
+    m = G.Mender(*G.corpus_tables(table(spark, [{"note": v} for v in values])))
+    words = {w for v in values for w in v.split() if not w.isascii()}
+    touched = {w for w in words if m.piece(w)}
+    assert "GerÃ¤t" in touched and len(touched) < len(words) / 2
+    tried = []
+    inverses = m.inverses
+    monkeypatch.setattr(m, "inverses", lambda piece: tried.append(piece) or inverses(piece))
+    assert m._word("GerÃ¤t")[0] == "Gerät" and m._word("Gerät") is None
+    assert {t for t in tried if "Ã" in t} == {"Ã¤", "Ã¤t"}  # the letter behind may be the last byte of a two-byte character
+
+
+def test_two_bytes_and_two_mappings(spark):
+    """Characters whose second byte is an ASCII letter, and texts that were read wrongly twice."""
+    twice = "Wäsche größer".encode().decode("cp1252").encode().decode("cp1252")
+    kana = "".join(G._decoded("cp1252", b) for b in "テスト".encode("shift_jis"))
+    clean = [f"{p} {k}" for k in range(30) for p in [*PHRASES, "Wäsche größer", "テスト"]]
+    got = {r.value: r.restored for r in G.garbled(table(spark, [{"note": v} for v in [*clean, twice, kana]])).collect()}
+    assert got == {twice: "Wäsche größer", kana: "テスト"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_planted_texts_of_the_tables_are_found_and_restored(spark):
+    """Genuine values of the tables, garbled by ten pairs of encodings: recall, and how many come back exactly."""
+    from strataflow.common import table as read
+
+    samples = read(spark, "/root/testdata/sf0.01", "samples", "sample_id", "keywords").dropDuplicates(["sample_id"])
+    bad = {(r.sample_id, r.keyword) for r in G.garbled(samples).collect()}
+    rng, rows, truth = random.Random(3), [], {}
+    for r in samples.collect():
+        own = {}
+        for k, v in (r.keywords or {}).items():
+            if (r.sample_id, k) in bad:
+                continue
+            own[k] = v
+            if v and not v.isascii() and rng.random() < 0.1:
+                original, wrong = rng.choice(WRONG[:10])
+                try:
+                    own[k] = v.encode(original).decode(wrong)
+                except UnicodeError:
+                    continue
+                if own[k] != v:
+                    truth[r.sample_id, k] = v
+        rows.append((r.sample_id, own))
+    found = {(r.sample_id, r.keyword): r.restored for r in G.garbled(spark.createDataFrame(rows, "sample_id long, keywords map<string,string>")).collect()}
+    hits = truth.keys() & found.keys()
+    assert len(truth) > 40 and len(hits) >= 0.97 * len(truth) and len(found.keys() - truth.keys()) <= 0.02 * len(truth)
+    assert sum(found[k] == truth[k] for k in hits) >= 0.9 * len(truth)
