@@ -32,7 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_forms": lambda s, d: lookalike.consistent(_documents(s, d)),
 }
 
-_WORDS = r"regexp_extract_all(lower(regexp_replace({0}, '<[^<>]*>', ' ', 'g')), '[\p{{L}}\p{{N}}]+')"
+# A tag is written like one (a name, perhaps attributes with values); comments go too.
+_TAG = r"""</?\p{{L}}[\p{{L}}\p{{N}}_:.-]*(\s+[\p{{L}}\p{{N}}_:.-]+\s*=\s*("[^"<>]*"|''[^''<>]*''|[^\s"''<>=]+))*\s*/?>|<!--[^<>]*-->"""
+_WORDS = r"regexp_extract_all(lower(regexp_replace({0}, '" + _TAG + r"', ' ', 'g')), '[\p{{L}}\p{{N}}]+')"
 
 ORACLE = {
     "p7_found": f"""
