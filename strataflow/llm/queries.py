@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": lambda s, d: leakage.leaked(_documents(s, d), _items(s, d)),
     "p7_templates": lambda s, d: leakage.reparameterised_pairs(_documents(s, d), _items(s, d)),
     "p8_found": lambda s, d: lookalike.equal_looks(_documents(s, d)),
+    "p8_classes": lambda s, d: lookalike.classes(_documents(s, d)),
     "p8_forms": lambda s, d: lookalike.consistent(_documents(s, d)),
 }
 
