@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.common import cut
+from strataflow.functions import deep
 
 #: Files compared by one task at a time.
 CHUNK = 1024
@@ -44,7 +45,7 @@ EVENTS = "series string, chunk long, seq long, file_id long, kind string, change
 
 
 def type_of(value) -> str | None:
-    """string, number, boolean, object or array<...>; None for what tells no type."""
+    """string, number, boolean, object or array<...>; None for what tells no type. Arrays of any depth are walked without recursion."""
     if value is None:
         return None
     if isinstance(value, bool):
@@ -55,15 +56,31 @@ def type_of(value) -> str | None:
         return "string"
     if isinstance(value, dict):
         return "object"
-    inner = sorted({t for t in map(type_of, value) if t})
-    return f"array<{'|'.join(inner)}>" if inner else None
+    found: list[set[str]] = [set()]  # the types inside each open array
+    open_arrays = [iter(value)]
+    while True:
+        for x in open_arrays[-1]:
+            if isinstance(x, list):
+                open_arrays.append(iter(x))
+                found.append(set())
+                break
+            if t := type_of(x):
+                found[-1].add(t)
+        else:
+            open_arrays.pop()
+            inner = sorted(found.pop())
+            own = f"array<{'|'.join(inner)}>" if inner else None
+            if not open_arrays:
+                return own
+            if own:
+                found[-1].add(own)
 
 
 def records_of(content: str | None) -> list[dict] | None:
     """The records of one file; None when it can't be read."""
     try:
-        runs = json.loads(content).get("runs")
-    except (TypeError, ValueError, AttributeError, RecursionError):
+        runs = deep.loads(content).get("runs")
+    except (TypeError, ValueError, AttributeError):
         return None
     return [r for r in runs if isinstance(r, dict)] if isinstance(runs, list) else None
 
@@ -91,7 +108,7 @@ def profile(content: str | None) -> list[list] | None:
     for name in field_order(records):
         values = [r[name] for r in records if name in r]
         types = sorted({t for t in map(type_of, values) if t})
-        hashes = sorted({zlib.crc32(json.dumps(v, sort_keys=True).encode()) for v in values if v is not None})[:SKETCH]
+        hashes = sorted({zlib.crc32(deep.dumps(v, sort_keys=True).encode()) for v in values if v is not None})[:SKETCH]
         out.append([name, "|".join(types) or None, sum(v is None for v in values) / len(values), hashes])
     return out
 
@@ -104,6 +121,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def profiles(files: DataFrame) -> DataFrame:
     """One row per file: its fields as JSON, null where it can't be read."""
+    # A file is a few kilobytes, its profile a fraction of that: redelivered files are profiled again rather than shuffled whole.
     return files.select("file_id", "series", "file_date", "content").mapInArrow(_profiles, PROFILE).dropDuplicates(["file_id"])
 
 
@@ -286,7 +304,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, roots = json.loads(own), json.loads(roots or "{}")
             first = {n: roots.get(root, root) if start else root for n, (start, root) in own.items()}
             for k, record in enumerate(records_of(content) or []):
-                rows += [(file_id, k, first.get(n, n), n, type_of(v), v if isinstance(v, str) else json.dumps(v)) for n, v in record.items() if v is not None]
+                rows += [(file_id, k, first.get(n, n), n, type_of(v), v if isinstance(v, str) else deep.dumps(v)) for n, v in record.items() if v is not None]
         columns = list(zip(*rows)) if rows else [()] * 6
         types = [pa.int64(), pa.int32(), *[pa.string()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)

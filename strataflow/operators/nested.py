@@ -1,13 +1,14 @@
 """Deeply nested records as flat node tables, labelled by intervals.
 
-Every record is read as a tree. A depth-first traversal gives each node its pre-order and post-order
-number, so that a node contains another exactly if its interval [pre, post] encloses the other's; the
-node tables of each type are linked by that containment alone (see `link`).
+Every record is read as a tree. A depth-first traversal gives each node its pre-order number and, on the
+way back (in post-order), the interval's end: `post` is the largest pre-order number below it. So a node
+contains another exactly if its interval [pre, post] encloses the other's; the node tables of each type
+are linked by that containment alone (see `link`).
 
 Defined cases: a null record has no nodes; null members are no nodes but keep their index; empty arrays
 and objects are nodes without children; text that is no JSON, or a scalar, has no nodes; text that holds
 JSON inside a JSON string is read as the inner JSON, however often it is wrapped; NaN and Infinity are
-no JSON; documents nested too deeply for the reader count as invalid; a repeated member keeps its last
+no JSON; documents of any depth are read; a repeated member keeps its last
 value; lone surrogates in names become "?"; repeated rows give repeated nodes until the caller keeps one
 row per id.
 """
@@ -20,9 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strataflow.functions import deep
 
 SCHEMA = "run_id long, tree string, pre int, post int, depth int, kind string, step string, path string, value string"
 LINKED = SCHEMA + ", parent_pre int, parent_path string"
+#: Characters of paths that are put out at a time.
+PATHS = 1 << 24
 #: The arrays of each typed element that hold further elements: type -> (member, type of its elements).
 PARTS = {"root": ("parts", "part"), "part": ("checks", "check"), "check": ("evidence", "evidence"), "evidence": None}
 
@@ -36,8 +42,8 @@ def read_json(text: str | None):
     value = text
     while isinstance(value, str):
         try:
-            value = json.loads(value, parse_constant=_refuse)
-        except (ValueError, RecursionError):
+            value = deep.loads(value, parse_constant=_refuse)
+        except ValueError:
             return None
     return value
 
@@ -110,30 +116,45 @@ def link(run: np.ndarray, tree: np.ndarray, pre: np.ndarray, post: np.ndarray, d
     return parent
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes(batches: Iterator[pa.RecordBatch], trees: tuple[str, ...] = ("parts", "answer")) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[list] = []
         ordinal: list[int] = []
-        for k, (run_id, parts, answer) in enumerate(zip(batch.column("run_id").to_pylist(), batch.column("parts").to_pylist(), batch.column("answer").to_pylist())):
+        size = 0
+        ids = batch.column("run_id").to_pylist()
+        parts, answers = (batch.column(t).to_pylist() if t in trees else [None] * len(ids) for t in ("parts", "answer"))
+        for k, (run_id, part, answer) in enumerate(zip(ids, parts, answers)):
             before = len(rows)
-            label(run_id, "parts", ({"parts": parts}, "root", ""), _part_children, rows, "")
-            label(run_id, "answer", (read_json(answer), "root", ""), _json_children, rows, "answer")
+            if part is not None:
+                label(run_id, "parts", ({"parts": part}, "root", ""), _part_children, rows, "")
+            if answer is not None:
+                label(run_id, "answer", (read_json(answer), "root", ""), _json_children, rows, "answer")
             ordinal += [k] * (len(rows) - before)
-        tree = np.array([r[1] == "answer" for r in rows], np.int64)
-        pre, post, depth = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4))
-        parent = link(np.array(ordinal, np.int64), tree, pre, post, depth)
-        top = {"parts": "", "answer": "answer"}
-        for row, p in zip(rows, parent.tolist()):
-            row += [rows[p][2], rows[p][7]] if p >= 0 else [None, top[row[1]]]
-        names = [x.split()[0] for x in LINKED.split(", ")]
-        types = {"run_id": pa.int64(), "pre": pa.int32(), "post": pa.int32(), "depth": pa.int32(), "parent_pre": pa.int32()}
-        columns = list(zip(*rows)) if rows else [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, columns)], names=names)
+            size += sum(len(r[7]) for r in rows[before:])
+            if size > PATHS:  # paths of deep documents are long
+                yield _linked(rows, ordinal)
+                rows, ordinal, size = [], [], 0
+        yield _linked(rows, ordinal)
+
 
+def _linked(rows: list[list], ordinal: list[int]) -> pa.RecordBatch:
+    """The nodes of whole runs with their parents."""
+    tree = np.array([r[1] == "answer" for r in rows], np.int64)
+    pre, post, depth = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4))
+    parent = link(np.array(ordinal, np.int64), tree, pre, post, depth)
+    top = {"parts": "", "answer": "answer"}
+    for row, p in zip(rows, parent.tolist()):
+        row += [rows[p][2], rows[p][7]] if p >= 0 else [None, top[row[1]]]
+    names = [x.split()[0] for x in LINKED.split(", ")]
+    types = {"run_id": pa.int64(), "pre": pa.int32(), "post": pa.int32(), "depth": pa.int32(), "parent_pre": pa.int32()}
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, columns)], names=names)
 
-def node_table(runs: DataFrame) -> DataFrame:
-    """All nodes of the runs' `parts` and `answer` with labels, parent and scalar value, one row per node."""
-    return runs.select("run_id", "parts", "answer").mapInArrow(_nodes, LINKED)
+
+def node_table(runs: DataFrame, *trees: str) -> DataFrame:
+    """All nodes of the runs' `parts` and `answer` (or of the `trees` asked for) with labels, parent and scalar value, one row per node."""
+    wanted = trees or ("parts", "answer")
+    return runs.select("run_id", *wanted).mapInArrow(lambda batches: _nodes(batches, wanted), LINKED)
 
 
 def items(runs: DataFrame) -> DataFrame:
@@ -143,15 +164,14 @@ def items(runs: DataFrame) -> DataFrame:
 
 def typed_tables(runs: DataFrame) -> dict[str, DataFrame]:
     """The flat tables part, check, evidence and answer, each with its key (run_id, pre) and its parent's key."""
-    nodes = node_table(runs).dropDuplicates(["run_id", "tree", "pre"])
     head = ["run_id", "pre", "post", "parent_pre", "path"]
     json_of = {
         "part": "name string, weight double, score double, detail string",
         "check": "name string, passed boolean",
         "evidence": "gate string, sample string, count long",
     }
-    from pyspark.sql import functions as F
-
-    out = {kind: nodes.where(F.col("kind") == kind).select(*head, F.from_json("value", shape).alias("v")).select(*head, "v.*") for kind, shape in json_of.items()}
-    out["answer"] = nodes.where(F.col("tree") == "answer").select(*head, "kind", "step", "value")
+    # One tree each: a table of parts parses no answers. Redelivered runs carry the same nodes.
+    nodes = {t: node_table(runs, t).dropDuplicates(["run_id", "pre"]) for t in ("parts", "answer")}
+    out = {kind: nodes["parts"].where(F.col("kind") == kind).select(*head, F.from_json("value", shape).alias("v")).select(*head, "v.*") for kind, shape in json_of.items()}
+    out["answer"] = nodes["answer"].select(*head, "kind", "step", "value")
     return out

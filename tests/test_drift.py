@@ -40,6 +40,15 @@ def test_defined_cases(spark):
     assert found(spark, []) == set()
 
 
+def test_values_of_any_depth(spark):
+    """A field nested deeper than the standard reader goes has a type like any other."""
+    nest = lambda n, x: "[" * n + x + "]" * n
+    content = lambda a: '{"runs": [{"a": ' + a + ', "b": 1}]}'
+    rows = files(content(nest(1500, "1")), content(nest(1500, "1")), content(nest(12_000, "1")), content(nest(12_000, "")), content('{"x":' * 5000 + "1" + "}" * 5000))
+    assert found(spark, rows) == {(3, "retyped", "a", "a"), (5, "retyped", "a", "a")}
+    assert P.unified(spark.createDataFrame(rows, SCHEMA)).where("field = 'a'").count() == 5
+
+
 def test_unified_table_uses_first_names(spark):
     rows = files([{"a": 1, "b": "x"}], [{"a": 2, "c": "y"}], [{"a": [3], "d": "z"}])
     got = {(r.file_id, r.record, r.field, r.source_field, r.type, r.value) for r in P.unified(spark.createDataFrame(rows, SCHEMA)).collect()}

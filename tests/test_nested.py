@@ -5,6 +5,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from strataflow.functions import deep
 from strataflow.operators import nested as N
 
 PARTS = "array<struct<name: string, weight: double, score: double, detail: string, checks: array<struct<name: string, passed: boolean, evidence: array<struct<gate: string, sample: string, count: long>>>>>>"
@@ -62,3 +63,34 @@ def test_containment_against_recursion(values):
     got = list(zip(out.column("run_id").to_pylist(), out.column("path").to_pylist(), out.column("parent_path").to_pylist()))
     want = [(k, *pair) for k, v in enumerate(values) if not isinstance(v, str) for pair in slow(v, "answer")]
     assert [g for g in got if not isinstance(values[g[0]], str)] == want
+
+
+def test_documents_of_any_depth(spark):
+    """Deeper than the standard reader goes: every level is an item; what is broken far inside is no JSON."""
+    rows = [(1, None, "[" * 12_000 + "7" + "]" * 12_000), (2, None, '{"a":' * 3000 + "[]" + "}" * 3000), (3, None, "[" * 12_000 + "7" + "]" * 11_999), (4, None, "[" * 12_000 + "NaN" + "]" * 12_000)]
+    got = N.node_table(spark.createDataFrame(rows, SCHEMA)).groupBy("run_id").agg({"depth": "max", "pre": "count"}).collect()
+    assert {(r.run_id, r["max(depth)"], r["count(pre)"]) for r in got} == {(1, 12_000, 12_000), (2, 3000, 3000)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(JSON, st.integers(0, 1), st.text(alphabet='[]{},:"1e.-tn ', max_size=12))
+def test_reader_and_writer_with_an_own_stack(value, keys, text):
+    """The same values and texts as the standard ones, and the same refusals."""
+    assert deep._loads(json.dumps(value, indent=keys or None), float) == value
+    try:
+        want = json.loads(text)
+    except ValueError:
+        want = ValueError
+    try:
+        got = deep._loads(text, float)
+    except ValueError:
+        got = ValueError
+    assert got == want
+
+
+def test_writer_of_any_depth():
+    value: list | dict = []
+    for k in range(20_000):
+        value = [1, value] if k % 2 else {"b": value, "a": None}
+    assert deep.dumps(deep.loads(deep.dumps(value))) == deep.dumps(value)
+    assert deep.dumps(value, sort_keys=True).startswith('[1, {"a": null, "b": [1, ')
