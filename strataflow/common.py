@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest estimated size, in bytes, of a table that is sent whole to every task.
@@ -60,6 +60,12 @@ def bounded(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def clean(c: Column) -> Column:
+    """The value as a double, null unless finite."""
+    x = c.cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x) & ~x.isin(float("inf"), float("-inf")), x)
+
+
 def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:
     """Join rows with one row per group, where null is a group like any other. Without groups `right` is a single row."""
     if not by:

@@ -9,17 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.common import join_groups
+from strataflow.common import clean, join_groups
 from strataflow.operators import ordered
 
 Z95 = 1.959963984540054
-INFINITE = (float("inf"), float("-inf"))
-
-
-def clean(c: Column) -> Column:
-    """The value, null unless finite."""
-    return F.when(c.isNotNull() & ~F.isnan(c.cast("double")) & ~c.isin(*INFINITE), c.cast("double"))
-
 
 def ratio(a: Column, b: Column, times: float = 1.0) -> Column:
     return F.when(b != 0, F.lit(times) * a / b)
@@ -58,10 +51,12 @@ def positive(x: Column, threshold: float) -> Column:
 
 
 def describe(df: DataFrame, by: list[str], channels: list[str], stats: list[str]) -> DataFrame:
-    """One row per group and channel with the statistics asked for: one aggregation, and one for all quantiles of all channels."""
-    wide = df.groupBy(*by).agg(F.count("*").alias("_all"), *[MOMENTS[s](clean(F.col(c))).alias(f"{c}__{s}") for c in channels for s in stats if s in MOMENTS])
+    """One row per group and channel with the statistics asked for: moments and sketches in one scan, the exact quantiles in a second."""
+    moments = [MOMENTS[s](clean(F.col(c))).alias(f"{c}__{s}") for c in channels for s in stats if s in MOMENTS]
     if any(s in QUANTILES for s in stats):
-        wide = join_groups(wide, ordered.quantiles(df, by, {c: clean(F.col(c)) for c in channels}, [LOW, MIDDLE, HIGH]), by)
+        wide = ordered.quantiles(df, by, {c: clean(F.col(c)) for c in channels}, [LOW, MIDDLE, HIGH], beside=moments)
+    else:
+        wide = df.groupBy(*by).agg(F.count("*").alias("_all"), *moments)
     value = lambda c, s: (F.col(f"{c}__{s}") if s in MOMENTS else QUANTILES[s](F.col(f"q_{c}"))).cast("double").alias(s)
     return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), *[value(c, s) for s in stats]) for c in channels])))
 
