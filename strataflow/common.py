@@ -40,10 +40,14 @@ def first_delivery(df: DataFrame, key: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for cut lineage. The cluster's setting wins; a temporary folder only where none is set (tests)."""
+    """The shared folder for cut lineage and results of streams: the cluster's setting. Only a local session without one gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 

@@ -125,13 +125,14 @@ def nearest_centroid(vectors: DataFrame, by: str, key: str = "vec_id", vector: s
     return vectors.crossJoin(F.broadcast(table)).select(key, best["g"].alias("nearest"), best["d"].alias("distance"))  # one row
 
 
-def summaries(vectors: DataFrame, by: str, dims: int, vector: str = "embedding") -> DataFrame:
-    """Count, share, median, mean and quartiles of the first `dims` coordinates per cluster."""
-    x = lambda k: F.col(vector)[k].cast("double")
-    wide = vectors.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(x(k)).alias(f"m{k}") for k in range(dims)])
-    wide = join_groups(wide, ordered.quantiles(vectors, [by], {str(k): x(k) for k in range(dims)}, [0.25, 0.5, 0.75]), [by])
-    rows = [F.struct(F.lit(k).alias("coordinate"), F.col(f"q_{k}")[0].alias("q25"), F.col(f"q_{k}")[1].alias("median"), F.col(f"q_{k}")[2].alias("q75"), F.col(f"m{k}").alias("mean")) for k in range(dims)]
-    return wide.select(by, "n", F.inline(F.array(*rows)))
+def summaries(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+    """Per cluster and coordinate: count, median, mean and quartiles, and beside them the mean of all other clusters' rows (`rest`)."""
+    long = vectors.select(by, F.posexplode(vector).alias("coordinate", "x")).withColumn("x", F.col("x").cast("double"))
+    q = ordered.quantiles(long, [by, "coordinate"], {"x": F.col("x")}, [0.25, 0.5, 0.75], beside=[F.sum("x").alias("sum")])
+    all_rows = q.groupBy("coordinate").agg(F.sum("sum").alias("_s"), F.sum("n_x").alias("_n"))
+    joined = q.join(all_rows, "coordinate")
+    rest = F.when(F.col("_n") > F.col("n_x"), (F.col("_s") - F.col("sum")) / (F.col("_n") - F.col("n_x")))
+    return joined.select(by, "coordinate", F.col("n_x").alias("n"), F.col("q_x")[0].alias("q25"), F.col("q_x")[1].alias("median"), F.col("q_x")[2].alias("q75"), F.when(F.col("n_x") > 0, F.col("sum") / F.col("n_x")).alias("mean"), rest.alias("rest"))
 
 
 def abundance(df: DataFrame, sample: str, cluster: str) -> DataFrame:

@@ -97,7 +97,7 @@ def anova(df: DataFrame, by: list[str], group: str, channel: str) -> DataFrame:
     """One-way F with its degrees of freedom, from the groups' moments."""
     own = moments(df, by, group, channel)
     whole = own.groupBy(*by).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.sum("n").alias("total"), F.count("*").alias("k"))
-    joined = own.join(whole, by) if by else own.crossJoin(F.broadcast(whole))  # one row
+    joined = join_groups(own, whole, by)
     between = F.sum(F.col("n") * (F.col("m") - F.col("grand")) * (F.col("m") - F.col("grand")))
     within = F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0)))
     return joined.groupBy(*by).agg(between.alias("b"), within.alias("w"), F.max("k").alias("k"), F.max("total").alias("n")).select(
@@ -203,7 +203,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     for c in (x, y):
         counted = both.groupBy(*by, c).agg(F.count("*").alias("_n"))
         ranks = ordered.cumulative(counted, by, c, ["_n"]).select(*by, c, (F.col("cum__n") - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
-        both = both.join(ranks, [*by, c])
+        both = join_groups(both, ranks, [*by, c])
     return both.groupBy(*by).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("spearman"))
 
 

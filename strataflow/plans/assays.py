@@ -46,10 +46,16 @@ register("sample_roles", lambda s, d: _samples(s, d, "name").groupBy(X.role(F.co
 register("name_matches", lambda s, d: J.matched(table(s, d, "supplier").select(F.concat(F.lit("Maker of "), F.col("s_name")).alias("name")).unionByName(table(s, d, "supplier").select(F.upper("s_name").alias("name"))), table(s, d, "supplier").select(F.col("s_name").alias("name")), "name", [F.col("name"), F.lower("name"), X.normalised(F.regexp_replace("name", "^Maker of ", ""))]),
     "WITH k AS (SELECT s_name AS name, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS n FROM supplier), w AS (SELECT 'Maker of ' || s_name AS wanted, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS n FROM supplier UNION ALL SELECT upper(s_name), lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) FROM supplier) SELECT wanted, min(name) AS match FROM w JOIN k USING (n) GROUP BY ALL")
 register("plate_duplicates", lambda s, d: J.duplicates(rejects.valid_rows(table(s, d, "layout_lines", "line_id", "file_name", "line_no", "raw")), ["file_name", "plate", "well_row", "well_column"]))
-register("plate_map", lambda s, d: table(s, d, "part").groupBy("p_brand").pivot("p_size", list(range(1, 13))).count().fillna(0),
-    "SELECT p_brand, " + ", ".join(f"count(*) FILTER (WHERE p_size = {k}) AS \"{k}\"" for k in range(1, 13)) + " FROM part GROUP BY 1")
-register("doses", lambda s, d: rejects.valid_rows(table(s, d, "layout_lines", "line_id", "file_name", "line_no", "raw")).where("dose IS NOT NULL AND unit IN ('nM', 'µM')").select("line_id", X.quantity(F.concat_ws(" ", F.col("dose").cast("string"), "unit")).alias("q")).select("line_id", "q.value", "q.unit", F.round(F.log10(F.when(F.col("q.base") > 0, F.col("q.base"))), 6).alias("log_base")))
+SIZES = range(1, 51)
+register("plate_map", lambda s, d: table(s, d, "part").groupBy("p_brand").pivot("p_size", list(SIZES)).count().fillna(0),
+    "SELECT p_brand, " + ", ".join(f"count(*) FILTER (WHERE p_size = {k}) AS \"{k}\"" for k in SIZES) + " FROM part GROUP BY 1")
 
+
+def _valid(s, d):
+    return rejects.valid_rows(table(s, d, "layout_lines", "line_id", "file_name", "line_no", "raw"))
+
+
+register("doses", lambda s, d: _valid(s, d).where("dose IS NOT NULL AND unit IS NOT NULL").select("line_id", X.quantity(F.concat_ws(" ", F.col("dose").cast("string"), "unit")).alias("q")).where("q IS NOT NULL").select("line_id", "q.value", "q.unit", F.round(F.log10(F.when(F.col("q.base") > 0, F.col("q.base"))), 6).alias("log_base")))
 _HIGH, _LOW = "l_quantity >= 45", "l_quantity <= 5"
 register("z_prime", lambda s, d: _round(A.z_prime(_items(s, d, "l_returnflag", "l_quantity", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", F.expr(_HIGH), F.expr(_LOW))),
     f"SELECT l_returnflag, round(1 - 3 * (stddev_samp(l_extendedprice) FILTER (WHERE {_HIGH}) + stddev_samp(l_extendedprice) FILTER (WHERE {_LOW})) / abs(avg(l_extendedprice) FILTER (WHERE {_HIGH}) - avg(l_extendedprice) FILTER (WHERE {_LOW})), 6) AS z_prime FROM lineitem GROUP BY 1")
@@ -84,8 +90,17 @@ def _spans(s, d):
 
 register("within_spans", lambda s, d: J.within(table(s, d, "events", "event_id", "user_id", "ts"), _spans(s, d), ["user_id"], "ts", "start", "end", 3600).groupBy("span").agg(F.count("*").alias("n")),
     "SELECT b.event_id AS span, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts >= b.ts AND a.ts < b.ts + INTERVAL 5 HOUR WHERE b.value > 450 GROUP BY 1")
-register("snapshot_differences", lambda s, d: J.differences(table(s, d, "customer", "c_custkey", "c_acctbal", "c_mktsegment").where("c_custkey % 7 <> 0"), table(s, d, "customer", "c_custkey", "c_acctbal", "c_mktsegment").where("c_custkey % 5 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 11 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))), ["c_custkey"], ["c_acctbal", "c_mktsegment"], 1e-12),
-    "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'added' WHEN c_custkey % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM customer WHERE (c_custkey % 7 = 0) <> (c_custkey % 5 = 0) OR (c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 11 = 0)")
+
+
+def _snapshots(s, d):
+    """Two deliveries of the samples that overlap: what arrived in the first 14 days of a month, and what arrived from its 8th day on."""
+    own = table(s, d, "samples", "sample_id", "event_count", "role", "received_at")
+    return first_delivery(own.where(F.dayofmonth("received_at") <= 14), "sample_id"), first_delivery(own.where(F.dayofmonth("received_at") >= 8), "sample_id")
+
+
+register("snapshot_differences", lambda s, d: J.differences(*_snapshots(s, d), ["sample_id"], ["event_count", "role"], 1e-12),
+    """WITH a AS (SELECT DISTINCT ON (sample_id) * FROM samples WHERE day(received_at) <= 14), b AS (SELECT DISTINCT ON (sample_id) * FROM samples WHERE day(received_at) >= 8)
+SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, CASE WHEN a.sample_id IS NULL THEN 'added' WHEN b.sample_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.sample_id = b.sample_id WHERE a.sample_id IS NULL OR b.sample_id IS NULL OR a.event_count IS DISTINCT FROM b.event_count OR a.role IS DISTINCT FROM b.role""")
 register("content_store", lambda s, d: table(s, d, "result_files", "file_id", "content").groupBy(F.sha2("content", 256).alias("sha")).agg(F.min("file_id").alias("file_id"), F.max(F.length("content")).cast("long").alias("size")),
     "SELECT sha256(content) AS sha, min(file_id) AS file_id, max(length(content)) AS size FROM result_files GROUP BY 1")
 

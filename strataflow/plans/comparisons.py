@@ -117,20 +117,42 @@ register(
 _WIDTH = 21600.0
 _BINS = "WITH b AS (SELECT event_type, CAST(floor(epoch_us(ts) / 1e6 / 21600) AS BIGINT) AS bin, count(value) AS n, CASE WHEN count(value) >= 10 THEN quantile_cont(value, 0.5) END AS median, CASE WHEN count(value) >= 10 THEN avg(value) END AS mean FROM events GROUP BY 1, 2)"
 register("time_bins", lambda s, d: _round(T.bins(_events(s, d), ["event_type"], "ts", "value", _WIDTH)), f"{_BINS} SELECT event_type, bin, n, round(median, 6) AS median, round(mean, 6) AS mean FROM b")
-register("smooth_bins", lambda s, d: _round(T.smoothed(T.bins(_events(s, d), ["event_type"], "ts", "value", _WIDTH), ["event_type"], "mean", 2).select("event_type", "bin", "smooth")), f"{_BINS} SELECT event_type, bin, round(CASE WHEN mean IS NOT NULL THEN avg(mean) OVER (PARTITION BY event_type ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END, 6) AS smooth FROM b")
-register("running_median", lambda s, d: _round(T.running_median(T.bins(_events(s, d), ["event_type"], "ts", "value", _WIDTH), ["event_type"], "mean", 2).select("event_type", "bin", "running_median")), f"{_BINS} SELECT event_type, bin, round(quantile_cont(mean, 0.5) OVER (PARTITION BY event_type ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS running_median FROM b")
+register("smooth_bins", lambda s, d: _round(T.smoothed(T.bins(_events(s, d), ["event_type"], "ts", "value", _WIDTH), ["event_type"], "mean", 2).select("event_type", "bin", "smooth")), f"{_BINS} SELECT event_type, bin, round(CASE WHEN mean IS NOT NULL THEN (SELECT avg(o.mean) FROM b o WHERE o.event_type = b.event_type AND abs(o.bin - b.bin) <= 2) END, 6) AS smooth FROM b")
+_MEDIANS = """, e AS (SELECT *, min(bin) OVER (PARTITION BY event_type) AS f, max(bin) OVER (PARTITION BY event_type) AS l FROM b),
+m AS (SELECT e.event_type, e.bin, e.f, e.l, e.mean, (SELECT median(o.mean) FROM b o WHERE o.event_type = e.event_type AND abs(o.bin - e.bin) <= least(2, e.bin - e.f, e.l - e.bin)) AS m FROM e),
+t AS (SELECT *, lead(m) OVER w AS n1, lead(m, 2) OVER w AS n2, lag(m) OVER w AS p1, lag(m, 2) OVER w AS p2 FROM m WINDOW w AS (PARTITION BY event_type ORDER BY bin))
+SELECT event_type, bin, round(CASE WHEN bin = f AND f < l AND mean + n1 + n2 IS NOT NULL THEN list_sort([mean, n1, 3 * n1 - 2 * n2])[2] WHEN bin = l AND f < l AND mean + p1 + p2 IS NOT NULL THEN list_sort([mean, p1, 3 * p1 - 2 * p2])[2] ELSE m END, 6) AS running_median FROM t"""
+register("running_median", lambda s, d: _round(T.running_median(T.bins(_events(s, d), ["event_type"], "ts", "value", _WIDTH), ["event_type"], "mean", 2).select("event_type", "bin", "running_median")), _BINS + _MEDIANS)
+register("box_smooth", lambda s, d: _round(T.box_smoothed(T.bins(_events(s, d), ["event_type"], "ts", "value", _WIDTH), ["event_type"], "mean", 7).select("event_type", "bin", "smooth")), f"{_BINS} SELECT event_type, bin, round((SELECT avg(o.mean) FROM b o WHERE o.event_type = b.event_type AND abs(o.bin - b.bin) <= 3), 6) AS smooth FROM b")
+
+
+def _aligned(s, d):
+    """Daily curves shifted so that each type's first high reading is 0."""
+    events = _events(s, d)
+    origin = events.where("value > 450").groupBy("event_type").agg(F.floor(F.min(T.seconds("ts")) / _WIDTH).alias("origin"))
+    return T.aligned(T.bins(events, ["event_type"], "ts", "value", _WIDTH), ["event_type"], origin, "origin").select("event_type", "offset", "median")
+
+
+register("aligned_curves", lambda s, d: _round(_aligned(s, d)), f"{_BINS}, o AS (SELECT event_type, CAST(floor(min(epoch_us(ts)) / 1e6 / 21600) AS BIGINT) AS z FROM events WHERE value > 450 GROUP BY 1) SELECT event_type, bin - z AS offset, round(median, 6) AS median FROM b JOIN o USING (event_type)")
 register("area_under_bins", lambda s, d: _round(T.auc(T.bins(_events(s, d), ["event_type"], "ts", "value", _WIDTH), ["event_type"], "mean", 6.0), 4), f"{_BINS}, s AS (SELECT event_type, (bin - lag(bin) OVER w) * 6 * (mean + lag(mean) OVER w) / 2 AS a FROM b WHERE mean IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY bin)) SELECT event_type, round(sum(a), 4) AS area FROM s GROUP BY 1")
 register(
     "response",
     lambda s, d: _round(T.response(T.bins(_events(s, d), ["event_type"], "ts", "value", _WIDTH), ["event_type"], "mean", 8)),
-    f"{_BINS}, k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY bin) AS k FROM b WHERE mean IS NOT NULL), r AS (SELECT event_type, avg(mean) FILTER (WHERE k <= 8) AS baseline, max(mean) FILTER (WHERE k > 8) AS peak FROM k GROUP BY 1) SELECT event_type, round(baseline, 6) AS baseline, round(peak, 6) AS peak, (SELECT min(bin) FROM k WHERE k.event_type = r.event_type AND k.k > 8 AND k.mean = r.peak) AS peak_bin, round(peak - baseline, 6) AS rise FROM r",
+    f"{_BINS}, k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY bin) AS k FROM b WHERE mean IS NOT NULL), r AS (SELECT event_type, avg(mean) FILTER (WHERE k <= 8) AS baseline, max(mean) FILTER (WHERE k > 8) AS peak FROM k GROUP BY 1) SELECT event_type, round(baseline, 6) AS baseline, round(peak, 6) AS peak, (SELECT min(bin) FROM k WHERE k.event_type = r.event_type AND k.k > 8 AND k.mean = r.peak) AS peak_bin, round(peak - baseline, 6) AS rise, (SELECT min(bin) FROM k WHERE k.event_type = r.event_type AND k.k > 8 AND k.mean >= baseline + (peak - baseline) / 2) AS half_bin, (SELECT round(count(*) FILTER (WHERE k.mean >= baseline + (peak - baseline) / 2) / count(*)::DOUBLE, 6) FROM k WHERE k.event_type = r.event_type AND k.k > 8) AS responding FROM r",
 )
 _GAPS = "WITH t AS (SELECT DISTINCT event_type, epoch_us(ts) / 1e6 AS t FROM events), g AS (SELECT event_type, t, t - lag(t) OVER (PARTITION BY event_type ORDER BY t) AS gap FROM t)"
 register("longest_gap", lambda s, d: _round(T.longest_gap(_events(s, d), ["event_type"], "ts"), 4), f"{_GAPS} SELECT event_type, round(max(gap), 4) AS gap, round(quantile_cont(gap, 0.5), 4) AS typical FROM g WHERE gap IS NOT NULL GROUP BY 1")
-register("pauses", lambda s, d: _round(T.pauses(_events(s, d), ["user_id"], "ts", 2.0, 3.0), 4))
+register("pauses", lambda s, d: _round(T.pauses(_events(s, d), ["user_id"], "ts", 2.0, 3.0), 4),
+    """WITH t AS (SELECT DISTINCT user_id, epoch_us(ts) / 1e6 AS e FROM events), g AS (SELECT user_id, lag(e) OVER (PARTITION BY user_id ORDER BY e) AS s, e FROM t), k AS (SELECT user_id, s, e, e - s AS gap FROM g WHERE s IS NOT NULL),
+m AS (SELECT user_id, quantile_cont(gap, 0.5) AS typical, min(s) AS t0, max(e) AS t1 FROM k GROUP BY 1)
+SELECT user_id, round(s, 4) AS start, round(e, 4) AS "end", round(gap, 4) AS gap FROM k JOIN m USING (user_id) WHERE gap >= greatest(2.0, 3.0 * typical) AND s >= t0 + (t1 - t0) / 10 AND e <= t1 - (t1 - t0) / 10 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY gap DESC, s) = 1""")
+_DRIFT = "WITH e AS (SELECT *, epoch_us(l_shipdate) / 1e6 AS t, min(epoch_us(l_shipdate) / 1e6) OVER (PARTITION BY l_returnflag) AS a, max(epoch_us(l_shipdate) / 1e6) OVER (PARTITION BY l_returnflag) AS b FROM lineitem), p AS (SELECT l_returnflag, CAST(least(19, floor((t - a) / (b - a) * 20)) AS INT) AS part, l_quantity, l_extendedprice FROM e) SELECT l_returnflag, part, 'l_quantity' AS channel, round(quantile_cont(l_quantity, 0.5), 6) AS median FROM p GROUP BY 1, 2 UNION ALL SELECT l_returnflag, part, 'l_extendedprice', round(quantile_cont(l_extendedprice, 0.5), 6) FROM p GROUP BY 1, 2"
 register("drift_medians", lambda s, d: _round(T.drift(_items(s, d, "l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice"), ["l_returnflag"], "l_shipdate", ["l_quantity", "l_extendedprice"])),
-    "WITH e AS (SELECT *, epoch_us(l_shipdate) / 1e6 AS t, min(epoch_us(l_shipdate) / 1e6) OVER (PARTITION BY l_returnflag) AS a, max(epoch_us(l_shipdate) / 1e6) OVER (PARTITION BY l_returnflag) AS b FROM lineitem), p AS (SELECT l_returnflag, CAST(least(19, floor((t - a) / (b - a) * 20)) AS INT) AS part, l_quantity, l_extendedprice FROM e) SELECT l_returnflag, part, 'l_quantity' AS channel, round(quantile_cont(l_quantity, 0.5), 6) AS median FROM p GROUP BY 1, 2 UNION ALL SELECT l_returnflag, part, 'l_extendedprice', round(quantile_cont(l_extendedprice, 0.5), 6) FROM p GROUP BY 1, 2")
-register("theil_sen", lambda s, d: _round(T.theil_sen(T.drift(_items(s, d, "l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice"), ["l_returnflag"], "l_shipdate", ["l_quantity", "l_extendedprice"]), ["l_returnflag", "channel"])))
+    _DRIFT)
+register("theil_sen", lambda s, d: _round(T.theil_sen(T.drift(_items(s, d, "l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice"), ["l_returnflag"], "l_shipdate", ["l_quantity", "l_extendedprice"]), ["l_returnflag", "channel"]), 4),
+    f"WITH d AS ({_DRIFT.replace('round(', '(').replace(', 6)', ')')}) SELECT a.l_returnflag, a.channel, round(quantile_cont((b.median - a.median) / (b.part - a.part), 0.5), 4) AS slope FROM d a JOIN d b ON a.l_returnflag = b.l_returnflag AND a.channel = b.channel AND a.part < b.part GROUP BY 1, 2")
+register("drift_fold", lambda s, d: _round(T.fold_change(T.drift(_items(s, d, "l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice"), ["l_returnflag"], "l_shipdate", ["l_quantity", "l_extendedprice"]), ["l_returnflag", "channel"])),
+    f"WITH d AS ({_DRIFT.replace('round(', '(').replace(', 6)', ')')}) SELECT l_returnflag, channel, round(avg(median) FILTER (WHERE part > 17) / avg(median) FILTER (WHERE part < 2), 6) AS fold FROM d GROUP BY 1, 2")
 register(
     "event_rates",
     lambda s, d: _round(T.rates(_events(s, d), ["event_type"], "ts", 3600.0)),
@@ -151,11 +173,18 @@ w AS (SELECT *, lag(z) OVER o AS z1, min(z) OVER o2 AS lo2, max(z) OVER o2 AS hi
 WINDOW o AS (PARTITION BY event_type ORDER BY bin), o2 AS (PARTITION BY event_type ORDER BY bin ROWS 1 PRECEDING), o4 AS (PARTITION BY event_type ORDER BY bin ROWS 3 PRECEDING), o10 AS (PARTITION BY event_type ORDER BY bin ROWS 9 PRECEDING))
 SELECT event_type, bin, round(mean, 6) AS mean, round(z, 6) AS z, CASE WHEN abs(z) > 3 THEN '1-3s' WHEN n2 = 2 AND (lo2 > 2 OR hi2 < -2) THEN '2-2s' WHEN ((z > 2 AND z1 < -2) OR (z < -2 AND z1 > 2)) AND abs(z - z1) > 4 THEN 'R-4s' WHEN n4 = 4 AND (lo4 > 1 OR hi4 < -1) THEN '4-1s' WHEN n10 = 10 AND (lo10 > 0 OR hi10 < 0) THEN '10x' WHEN abs(z) > 2 THEN '1-2s' END AS rule FROM w""",
 )
-register(
-    "hash_chain",
-    lambda s, d: T.chained(_events(s, d), ["event_type"], ["ts", "event_id"], F.concat_ws("|", F.col("event_id").cast("string"), "event_type")).select("event_id", "link"),
-    "WITH o AS (SELECT event_id, event_type, ts, sha256(event_id || '|' || event_type) AS own FROM events) SELECT event_id, sha256(coalesce(lag(own) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id), '') || chr(10) || own) AS link FROM o",
-)
+def _log(s, d):
+    return ["event_type"], ["ts", "event_id"], F.concat_ws("|", F.col("event_id").cast("string"), "event_type")
+
+
+# The chain by recursion: over the places inside all blocks at once, and over the blocks.
+_CHAIN = """WITH RECURSIVE o AS (SELECT event_id, event_type, row_number() OVER w - 1 AS r, (row_number() OVER w - 1) // 1000 AS b, (row_number() OVER w - 1) % 1000 AS k, sha256(event_id || '|' || event_type) AS own FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+d AS (SELECT event_type, b, sha256(string_agg(own, '' ORDER BY r)) AS digest FROM o GROUP BY 1, 2),
+h AS (SELECT event_type, CAST(0 AS BIGINT) AS b, '' AS head FROM d WHERE b = 0 UNION ALL SELECT h.event_type, h.b + 1, sha256(h.head || d.digest) FROM h JOIN d ON d.event_type = h.event_type AND d.b = h.b WHERE h.b < 100000),
+c AS (SELECT o.event_type, o.b, o.k, o.event_id, sha256(h.head || o.own) AS link FROM o JOIN h USING (event_type, b) WHERE k = 0 UNION ALL SELECT o.event_type, o.b, o.k, o.event_id, sha256(c.link || o.own) FROM c JOIN o ON o.event_type = c.event_type AND o.b = c.b AND o.k = c.k + 1)
+SELECT event_id, link FROM c"""
+register("hash_chain", lambda s, d: T.chained(_events(s, d), *_log(s, d)).select("event_id", "link"), _CHAIN)
+register("hash_chain_verified", lambda s, d: T.verified(T.chained(_events(s, d), *_log(s, d)), *_log(s, d)), "SELECT event_type, count(*) AS entries, CAST(0 AS BIGINT) AS broken, CAST(NULL AS BIGINT) AS first_broken FROM events GROUP BY 1")
 
 
 def _time_corrected(s, d):
@@ -195,8 +224,9 @@ register("knn_agreement", lambda s, d: _round(K.neighbour_agreement(_nearest(s,
 register("centroids", lambda s, d: _round(K.centroids(_vectors(s, d), "label")), "SELECT label, coordinate, round(avg(x), 6) AS value FROM (SELECT label, unnest(range(len(embedding)))::INT AS coordinate, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
 register("nearest_centroid", lambda s, d: _round(K.nearest_centroid(_vectors(s, d), "label")),
     "WITH c AS (SELECT label, list(v ORDER BY k) AS c FROM (SELECT label, k, avg(x) AS v FROM (SELECT label, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1), n AS (SELECT vec_id, c.label AS nearest, list_distance(embedding::DOUBLE[], c.c) AS distance FROM embeddings, c) SELECT vec_id, nearest, round(distance, 6) AS distance FROM n QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, nearest) = 1")
-register("cluster_summary", lambda s, d: _round(K.summaries(_vectors(s, d), "label", 8)),
-    " UNION ALL ".join(f"SELECT label, count(*) AS n, {k} AS coordinate, round(quantile_cont(embedding[{k + 1}]::DOUBLE, 0.25), 6) AS q25, round(quantile_cont(embedding[{k + 1}]::DOUBLE, 0.5), 6) AS median, round(quantile_cont(embedding[{k + 1}]::DOUBLE, 0.75), 6) AS q75, round(avg(embedding[{k + 1}]::DOUBLE), 6) AS mean FROM embeddings GROUP BY 1" for k in range(8)))
+register("cluster_summary", lambda s, d: _round(K.summaries(_vectors(s, d), "label")),
+    """WITH x AS (SELECT label, unnest(range(len(embedding)))::INT AS coordinate, unnest(embedding)::DOUBLE AS v FROM embeddings), w AS (SELECT coordinate, sum(v) AS s, count(*) AS n FROM x GROUP BY 1)
+SELECT label, coordinate, count(*) AS n, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q75, round(avg(v), 6) AS mean, round((any_value(w.s) - sum(v)) / (any_value(w.n) - count(*)), 6) AS rest FROM x JOIN w USING (coordinate) GROUP BY 1, 2""")
 register("cluster_abundance", lambda s, d: _round(K.abundance(_items(s, d, "l_returnflag", "l_linenumber"), "l_returnflag", "l_linenumber")), "SELECT l_returnflag, l_linenumber, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS percent FROM lineitem GROUP BY 1, 2")
 register("partition_agreement", lambda s, d: _round(K.agreement(_items(s, d, "l_returnflag", "l_linestatus"), "l_returnflag", "l_linestatus"), 8),
     "WITH k AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT a, sum(n) AS n FROM k GROUP BY 1), c AS (SELECT b, sum(n) AS n FROM k GROUP BY 1), x AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n * ln(n)) AS l, sum(n) AS n FROM k), y AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n * ln(n)) AS l FROM r), z AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n * ln(n)) AS l FROM c) SELECT round((x.s - y.s * z.s / (x.n * (x.n - 1) / 2)) / ((y.s + z.s) / 2 - y.s * z.s / (x.n * (x.n - 1) / 2)), 8) AS ari, round(((ln(x.n) - y.l / x.n) + (ln(x.n) - z.l / x.n) - (ln(x.n) - x.l / x.n)) / sqrt((ln(x.n) - y.l / x.n) * (ln(x.n) - z.l / x.n)), 8) AS nmi FROM x, y, z")

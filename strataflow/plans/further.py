@@ -78,8 +78,8 @@ register("knn_preserved", lambda s, d: _round(K.preserved(_vectors(s, d), _vecto
     f"{_KNN}, p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding[1:8]::DOUBLE[], b.embedding[1:8]::DOUBLE[]), b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) SELECT r.query, round(count(p.neighbour) / 10.0::DOUBLE, 6) AS preserved FROM r LEFT JOIN p ON r.query = p.query AND r.neighbour = p.neighbour AND p.k <= 10 WHERE rank <= 10 GROUP BY 1")
 register("cluster_enrichment", lambda s, d: _round(K.enrichment(_vectors(s, d), "label")),
     "WITH l AS (SELECT label, unnest(range(len(embedding)))::INT AS coordinate, unnest(embedding)::DOUBLE AS x FROM embeddings), w AS (SELECT coordinate, avg(x) AS m, stddev_samp(x) AS s FROM l GROUP BY 1) SELECT label, coordinate, round((avg(x) - any_value(m)) / any_value(s), 6) AS score FROM l JOIN w USING (coordinate) GROUP BY 1, 2")
-register("layout_unpivot", lambda s, d: table(s, d, "part", "p_brand", "p_size").groupBy("p_brand").pivot("p_size", list(range(1, 13))).count().unpivot(["p_brand"], [str(k) for k in range(1, 13)], "size", "n").where("n IS NOT NULL"),
-    "SELECT p_brand, CAST(p_size AS VARCHAR) AS size, count(*) AS n FROM part WHERE p_size BETWEEN 1 AND 12 GROUP BY 1, 2")
+register("layout_unpivot", lambda s, d: table(s, d, "part", "p_brand", "p_size").groupBy("p_brand").pivot("p_size", list(range(1, 51))).count().unpivot(["p_brand"], [str(k) for k in range(1, 51)], "size", "n").where("n IS NOT NULL"),
+    "SELECT p_brand, CAST(p_size AS VARCHAR) AS size, count(*) AS n FROM part GROUP BY 1, 2")
 register("graph_components", lambda s, d: K.components(table(s, d, "documents", "rev_id", "parent_rev_id").where("parent_rev_id IS NOT NULL"), "rev_id", "parent_rev_id"),
     "WITH RECURSIVE e AS (SELECT DISTINCT rev_id AS a, parent_rev_id AS b FROM documents WHERE parent_rev_id IS NOT NULL), n AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT u AS node, u AS c FROM n UNION SELECT n.v, r.c FROM r JOIN n ON n.u = r.node WHERE r.c < n.v) SELECT node, min(c) AS component FROM r GROUP BY 1")
 register("revision_gaps", lambda s, d: table(s, d, "documents", "page_id", "rev_ts").groupBy("page_id", F.to_date("rev_ts").alias("day")).agg(F.count("*").alias("n")).withColumn("since", F.datediff("day", F.lag("day").over(Window.partitionBy("page_id").orderBy("day")))).where("since IS NOT NULL").groupBy("since").agg(F.count("*").alias("pages"), F.sum("n").alias("revisions")),

@@ -159,10 +159,18 @@ def _weights():
     return {f"{c}_comp": inverse[:, j] for j, c in enumerate(TRIPLE)}, {n: ols[:, k] for k, n in enumerate(SPECTRA)}
 
 
+def _residual_sql():
+    ols = _weights()[1]
+    x = {n: "(" + " + ".join(f"{c} * CAST({float(w)!r} AS DOUBLE)" for c, w in zip(TRIPLE, ws)) + ")" for n, ws in ols.items()}
+    off = " + ".join(f"pow({c} - " + " - ".join(f"{x[n]} * {SPECTRA[n][k]}" for n in SPECTRA) + ", 2)" for k, c in enumerate(TRIPLE))
+    return f"SELECT l_returnflag, round(avg(sqrt({off}) / sqrt({' + '.join(f'{c} * {c}' for c in TRIPLE)})), 6) AS residual FROM lineitem GROUP BY 1"
+
+
 register("compensation_apply", lambda s, d: _means(comp.compensated(_items(s, d), TRIPLE, SPILL), [f"{c}_comp" for c in TRIPLE]), _linear_sql(_weights()[0]))
 register("unmix_ols", lambda s, d: _means(comp.unmixed(_items(s, d), TRIPLE, SPECTRA), list(SPECTRA)), _linear_sql(_weights()[1]))
 register("unmix_nonnegative", lambda s, d: _means(comp.unmixed_nonnegative(_items(s, d), TRIPLE, SPECTRA), list(SPECTRA)))
-register("unmix_residual", lambda s, d: comp.unmixed(_items(s, d), TRIPLE, SPECTRA).withColumn("r", comp.residual(TRIPLE, SPECTRA)).groupBy("l_returnflag").agg(F.round(F.avg("r"), 8).alias("residual")))
+register("unmix_residual", lambda s, d: comp.unmixed(_items(s, d), TRIPLE, SPECTRA).withColumn("r", comp.residual(TRIPLE, SPECTRA)).groupBy("l_returnflag").agg(F.round(F.avg("r"), 6).alias("residual")),
+    _residual_sql())
 register("ratio_channel", lambda s, d: _items(s, d).withColumn("r", comp.ratio_channel(F.col("l_extendedprice"), F.col("l_quantity"), 2.0, 100.0, 0.5)).groupBy("l_returnflag").agg(F.round(F.avg("r"), 6).alias("ratio")), "SELECT l_returnflag, round(avg(2 * (l_extendedprice - 100) / (l_quantity - 0.5)), 6) AS ratio FROM lineitem GROUP BY 1")
 register("calibrated_channel", lambda s, d: table(s, d, "customer").withColumn("y", comp.calibrated(F.col("c_acctbal"), 1.1, 0.5)).groupBy("c_mktsegment").agg(F.round(F.avg("y"), 6).alias("calibrated")), "SELECT c_mktsegment, round(avg(sign(c_acctbal) * exp(0.5) * pow(abs(c_acctbal), 1.1)), 6) AS calibrated FROM customer GROUP BY 1")
 register(
