@@ -139,3 +139,29 @@ def logicle_width(low_percentile: Column, T: float, M: float = 4.5) -> Column:
     """W from the fifth percentile of the negatives; 0.25 without negatives."""
     w = (F.lit(M) - F.log10(F.lit(T) / F.abs(low_percentile))) / 2
     return F.when(low_percentile.isNull() | (low_percentile >= 0), F.lit(0.25)).otherwise(F.greatest(F.lit(0.0), F.least(w, F.lit(min(M / 2, 2.0)))))
+
+
+def logit(p, epsilon: float = 0.0):
+    """Log odds of a share, kept `epsilon` away from 0 and 1; infinite there without it."""
+    q = F.greatest(F.lit(epsilon), F.least(F.lit(1 - epsilon), p)) if epsilon else p
+    return F.when(q <= 0, F.lit(float("-inf"))).when(q >= 1, F.lit(float("inf"))).otherwise(F.log(q / (1 - q)))
+
+
+def arcsine_root(p):
+    return F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
+
+
+def bounded_scale(scale, low: float | None = None, high: float | None = None):
+    """A scale whose values are kept between `low` and `high`."""
+
+    def apply(x):
+        y = scale(x)
+        y = F.greatest(F.lit(low), y) if low is not None else y
+        return F.least(F.lit(high), y) if high is not None else y
+
+    return apply
+
+
+def default_scale(kind, technology):
+    """Name of the scale that a channel gets by its kind and the technology it was measured with."""
+    return F.when(kind.isin("time", "scatter"), "linear").when(technology == "mass", "arcsinh").otherwise("logicle")

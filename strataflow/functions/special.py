@@ -106,6 +106,53 @@ def _solve(f, low: float, high: float) -> float:
     return (low + high) / 2
 
 
+def student_quantile(p, df):
+    """The value that Student's t with `df` degrees of freedom stays below with probability p."""
+
+    def one(q: float, d: float) -> float:
+        if q == 0.5:
+            return 0.0
+        if q < 0.5:
+            return -one(1 - q, d)
+        # x = d / (d + t²) has the regularised beta function of its upper tail.
+        x = _solve(lambda v: _beta_i(d / 2, 0.5, v) - 2 * (1 - q), 0.0, 1.0)
+        return math.sqrt(d * (1 - x) / x) if x > 0 else math.inf
+
+    return _vector(one)(p, df)
+
+
+def normal_quantile(p):
+    return _vector(lambda q: _solve(lambda z: 0.5 * math.erfc(-z / math.sqrt(2.0)) - q, -40.0, 40.0))(p)
+
+
+def digamma(x):
+    """First derivative of the log gamma function: shifted up by its recurrence, then its asymptotic series."""
+
+    def one(v: float) -> float:
+        shift = 0.0
+        while v < 10:
+            shift -= 1 / v
+            v += 1
+        u = 1 / (v * v)
+        return shift + math.log(v) - 1 / (2 * v) - u * (1 / 12 - u * (1 / 120 - u * (1 / 252 - u * (1 / 240 - u / 132))))
+
+    return _vector(one)(x)
+
+
+def trigamma(x):
+    """Second derivative of the log gamma function."""
+
+    def one(v: float) -> float:
+        shift = 0.0
+        while v < 12:
+            shift += 1 / (v * v)
+            v += 1
+        u = 1 / (v * v)
+        return shift + 1 / v + u / 2 + u / v * (1 / 6 - u * (1 / 30 - u * (1 / 42 - u * (1 / 30 - u * 5 / 66))))
+
+    return _vector(one)(x)
+
+
 def poisson_interval(n: int, level: float = 0.95) -> tuple[float, float]:
     """Exact (Garwood) interval of a count."""
     a = (1 - level) / 2

@@ -60,3 +60,43 @@ def role(name: Column) -> Column:
         .when(n.rlike(r"blank|vehicle|dmso|\bneg"), "control")
         .otherwise("sample")
     )
+
+
+def dilution(text: Column) -> Column:
+    """Factor of texts like '1:10' or '10'; null for others and for 0."""
+    value = F.regexp_replace(F.regexp_extract(text, r"^\s*(?:1\s*:\s*)?([0-9]+(?:[.,][0-9]+)?)\s*$", 1), ",", ".")
+    number = F.when(value != "", value).try_cast("double")
+    return F.when(number > 0, number)
+
+
+def amount(name: Column) -> Column:
+    """Struct of number and unit of the last amount in a name, such as '0.5 ug' in 'CD3_0.5ug.fcs' or '450 V'; null without one."""
+    pattern = r"(?i)([0-9]+(?:[.,][0-9]+)?)[ _]?(ul|µl|ml|ug|µg|ng|mg|um|µm|nm|mm|min|v)(?![A-Za-z0-9])"
+    numbers, units = F.regexp_extract_all(name, F.lit(pattern), F.lit(1)), F.regexp_extract_all(name, F.lit(pattern), F.lit(2))
+    number = F.regexp_replace(F.try_element_at(numbers, F.lit(-1)), ",", ".").try_cast("double")
+    return F.when(number.isNotNull(), F.struct(number.alias("value"), F.lower(F.try_element_at(units, F.lit(-1))).alias("unit")))
+
+
+# lasers' wavelengths and the letters that name their detectors.
+LASERS = {"UV": 355, "V": 405, "B": 488, "YG": 561, "R": 640, "IR": 808}
+
+
+def detector(name: Column) -> Column:
+    """Struct of laser, number in its row, kind of measure (A, H, W) and a sort key of spectral detector names like 'YG3-A'; null for others."""
+    pattern = "^(UV|IR|YG|V|B|R)([0-9]{1,2})(?:-([AHW]))?$"
+    part = lambda k: F.regexp_extract(name, pattern, k)
+    wave = F.create_map(*[F.lit(x) for pair in LASERS.items() for x in pair])
+    number = part(2).try_cast("int")
+    return F.when(part(1) != "", F.struct(part(1).alias("laser"), number.alias("number"), F.nullif(part(3), F.lit("")).alias("measure"), (F.try_element_at(wave, part(1)) * 100 + number).alias("order")))
+
+
+def channel_kind(name: Column, label: Column) -> Column:
+    """time, scatter, mass or fluorescence, from a channel's names."""
+    n = F.upper(F.concat_ws(" ", name, label))
+    return F.when(n.rlike(r"^TIME\b"), "time").when(n.rlike(r"\b[FS]SC\b|\b[FS]SC-"), "scatter").when(n.rlike(r"^[A-Z]{1,2}[0-9]{2,3}DI\b"), "mass").otherwise("fluorescence")
+
+
+def marker(label: Column) -> Column:
+    """The marker in a label such as 'CD4 BV421' or 'CD4-BV421': what stands before the dye; null for a blank label."""
+    text = F.trim(F.regexp_replace(label, r"(?i)[ _:-]+(FITC|PE|APC|BV[0-9]+|BUV[0-9]+|AF[0-9]+|PerCP|Alexa).*$", ""))
+    return F.nullif(text, F.lit(""))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.common import join_groups
+from strataflow.functions import special
 from strataflow.operators import ordered
 from strataflow.operators.statistics import clean, ratio
 
@@ -20,6 +22,16 @@ def z_prime(df: DataFrame, by: list[str], channel: str, positive: Column, negati
     return df.groupBy(*by).agg((1 - ratio(3 * (F.stddev_samp(p) + F.stddev_samp(n)), F.abs(F.avg(p) - F.avg(n)))).alias("z_prime"))
 
 
+def robust_z_prime(df: DataFrame, by: list[str], channel: str, positive: Column, negative: Column) -> DataFrame:
+    """As `z_prime`, with medians for means and 1.4826 MAD for standard deviations."""
+    x = clean(F.col(channel))
+    rows = df.select(*by, F.when(positive, x).alias("_p"), F.when(negative, x).alias("_n"))
+    middle = ordered.quantiles(rows, by, {"p": F.col("_p"), "n": F.col("_n")}, [0.5]).select(*by, F.col("q_p")[0].alias("_mp"), F.col("q_n")[0].alias("_mn"))
+    away = ordered.quantiles(join_groups(rows, middle, by), by, {"p": F.abs(F.col("_p") - F.col("_mp")), "n": F.abs(F.col("_n") - F.col("_mn"))}, [0.5])
+    both = join_groups(middle, away, by)
+    return both.select(*by, (1 - ratio(3 * 1.4826 * (F.col("q_p")[0] + F.col("q_n")[0]), F.abs(F.col("_mp") - F.col("_mn")))).alias("z_prime"))
+
+
 def proliferation(df: DataFrame, by: list[str], generation: str) -> DataFrame:
     """Division, proliferation, expansion and replication index and percent divided, from counts per generation (0 for undivided)."""
     counts = df.where(F.col(generation).isNotNull()).groupBy(*by, F.col(generation).alias("g")).count()
@@ -107,28 +119,51 @@ def dose_response(df: DataFrame, by: str, dose: str, response: str) -> DataFrame
     return means.groupBy(by).applyInPandas(fit, f"key {kind}, b double, low double, high double, ec50 double, residual double").withColumnRenamed("key", by)
 
 
-def outlying_slices(slices: DataFrame, by: str, most: float = 0.2, critical: float = 3.5) -> DataFrame:
-    """Slices (`slice`, `count`) whose rate is off by the robust generalised extreme deviate rule: the farthest slice is taken away and
-    median and MAD found again, up to the share `most`. Slices are counts, few per group."""
+def _extremes(x: np.ndarray, most: float, alpha: float) -> np.ndarray:
+    """Places of the outliers of the robust generalised extreme deviate test.
+
+    The value farthest from the median of those left lies at one end of the sorted values, so what is left is always one
+    stretch of them, and its MAD is found by bisection. A value counts if its deviation exceeds the critical value of its step or a later one does.
+    """
+    order = np.argsort(x, kind="stable")
+    v, low, high, last, taken = x[order], 0, len(x), 0, []
+    for k in range(int(len(x) * most)):
+        left = v[low:high]
+        n = len(left)
+        if n < 3:
+            break
+        middle = (left[(n - 1) // 2] + left[n // 2]) / 2
+        # The MAD merges the distances below and above the median, both sorted.
+        spread = 1.4826 * _middle_of(middle - left[: n // 2][::-1], left[n // 2 :] - middle)
+        if spread == 0:
+            break
+        down = middle - left[0] > left[-1] - middle
+        score = max(middle - left[0], left[-1] - middle) / spread
+        taken.append(low if down else high - 1)
+        low, high = (low + 1, high) if down else (low, high - 1)
+        t = float(special.student_quantile(1 - alpha / (2 * n), n - 2)) if n <= _SMALL else float(special.normal_quantile(1 - alpha / (2 * n)))
+        if score > t * (n - 1) / math.sqrt((n - 2 + t * t) * n):
+            last = k + 1
+    return np.sort(order[taken[:last]])
+
+
+#: Values from which the normal quantile stands for Student's.
+_SMALL = 2000
+
+
+def _middle_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Median of the values of two sorted arrays."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    n = len(both)
+    return (both[(n - 1) // 2] + both[n // 2]) / 2
+
+
+def outlying_slices(slices: DataFrame, by: str, most: float = 0.2, alpha: float = 0.01) -> DataFrame:
+    """Slices (`slice`, `count`) whose rate is off by the robust generalised extreme deviate test at level `alpha`: the farthest slice is taken
+    away and median and MAD found again, up to the share `most`, each held against the test's own critical value. Slices are counts, few per group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf["count"].to_numpy(float)
-        alive = np.ones(len(left), bool)
-        last = 0
-        taken: list[int] = []
-        for k in range(int(len(left) * most)):
-            x = left[alive]
-            middle = np.median(x)
-            spread = 1.4826 * np.median(np.abs(x - middle))
-            if spread == 0:
-                break
-            score = np.where(alive, np.abs(left - middle) / spread, -1)
-            at = int(score.argmax())
-            taken.append(at)
-            alive[at] = False
-            if score[at] > critical:
-                last = k + 1
-        return pdf.iloc[sorted(taken[:last])][[by, "slice", "count"]]
+        return pdf.iloc[_extremes(pdf["count"].to_numpy(float), most, alpha)][[by, "slice", "count"]]
 
     kinds = dict(slices.dtypes)
     return slices.select(by, "slice", "count").groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, slice {kinds['slice']}, count {kinds['count']}")
@@ -141,6 +176,11 @@ def sampled(df: DataFrame, by: list[str], key: list[str], k: int, seed: int = 1)
     return first.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_h", *key))).where(F.col("_n") <= k).drop("_h", "_b", "_n")
 
 
+def sampled_share(df: DataFrame, key: list[str], share: float, seed: int = 1) -> DataFrame:
+    """Every row whose hash lies in the first `share` of all hashes: a sample of about that share, the same for the same seed, without a shuffle."""
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def quotas(df: DataFrame, by: str, per_group: int, total: int) -> DataFrame:
     """Rows to take of each group: at most `per_group`, scaled down together to `total`."""
     counts = df.groupBy(by).count().withColumn("want", F.least(F.col("count"), F.lit(per_group)))

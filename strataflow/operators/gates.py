@@ -170,6 +170,32 @@ def summary(events: DataFrame, gates: list[Gate], sample: str) -> DataFrame:
     return counts.select(sample, F.inline(F.array(*rows)))
 
 
+def frequencies(events: DataFrame, gates: list[Gate], sample: str, of: str, beads: str, bead_total: float, volume: Column, dilution: Column) -> DataFrame:
+    """Further frequencies of each population, from the counts of one scan.
+
+    `percent_grandparent` (of the parent's parent, all events where there is none), `percent_of` (of the population
+    `of`), `concentration` (events in the `volume` acquired, times the `dilution`; both aggregates of the sample) and
+    `absolute` (events per bead of the population `beads`, times the beads added, over the volume). Null where the base is 0.
+    """
+    flags, by_name = expressions(gates, sample), {g.name: g for g in gates}
+    counts = events.groupBy(sample).agg(F.count("*").alias("all"), volume.alias("_volume"), dilution.alias("_dilution"), *[F.count_if(c).alias(f"n_{name}") for name, c in flags.items()])
+    over = lambda a, b: F.when(b > 0, a / b)
+
+    def row(name: str) -> Column:
+        parent = by_name[name].parent
+        above = by_name[parent].parent if parent else None
+        n = F.col(f"n_{name}")
+        return F.struct(
+            F.lit(name).alias("population"),
+            over(100.0 * n, F.col(f"n_{above}" if above else "all")).alias("percent_grandparent"),
+            over(100.0 * n, F.col(f"n_{of}")).alias("percent_of"),
+            (over(n, F.col("_volume")) * F.col("_dilution")).alias("concentration"),
+            (over(n * F.lit(bead_total), F.col(f"n_{beads}")) * over(F.lit(1.0), F.col("_volume"))).alias("absolute"),
+        )
+
+    return counts.select(sample, F.inline(F.array(*[row(name) for name in flags])))
+
+
 def quadrants(name: str, dims: tuple[str, str], center: tuple[float, float], parent: str | None = None) -> list[Gate]:
     """Four linked gates that part their parent."""
     return [Gate(f"{name}{a}{b}", "quadrant", dims, {"center": center, "sign": (a, b)}, parent) for a in "+-" for b in "+-"]

@@ -70,3 +70,54 @@ def differences(before: DataFrame, after: DataFrame, keys: list[str], values: li
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1")
+
+
+def by_field(rows: DataFrame, field: Column, key: str) -> DataFrame:
+    """The members of each group that a field (a text or an array of texts) names: `group`, `key`; rows without the field belong to none."""
+    return rows.select(F.col(key), F.explode(field).alias("group")).where("group IS NOT NULL").distinct()
+
+
+def with_layout(rows: DataFrame, layout: DataFrame, on: list[str]) -> DataFrame:
+    """Rows matched with a plate layout by position: `status` is matched, unplaced (no such well) or unused (a well without a row)."""
+    marked = rows.withColumn("_row", F.lit(True)).join(bounded(layout.dropDuplicates(on).withColumn("_well", F.lit(True))), on, "full_outer")
+    return marked.withColumn("status", F.when(F.col("_row").isNull(), "unused").when(F.col("_well").isNull(), "unplaced").otherwise("matched")).drop("_row", "_well")
+
+
+def latest(entries: DataFrame, by: list[str], at: str, tie: str) -> DataFrame:
+    """The newest entry of each key; equal times are ordered by `tie`. A maximum per key, so a hot key is combined before the shuffle."""
+    rest = [c for c in entries.columns if c not in by]
+    best = entries.where(F.col(at).isNotNull()).groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(at, tie)).alias("_b"))
+    return best.select(*by, "_b.*")
+
+
+def class_table(labels: DataFrame, key: str, label: str, classes: list[str], probability: str | None = None) -> DataFrame:
+    """One row per event and a column per class: its probability, or 1 and 0 for membership."""
+    value = F.col(probability) if probability else F.lit(1)
+    return labels.groupBy(key).agg(*[F.coalesce(F.max(F.when(F.col(label) == c, value)), F.lit(0)).alias(c) for c in classes])
+
+
+def classes_of(wide: DataFrame, key: str, classes: list[str], least: float = 0.5) -> DataFrame:
+    """The classes of each event whose value is at least `least`: `key`, `class`, `value`."""
+    return wide.unpivot([key], classes, "class", "value").where(F.col("value") >= least)
+
+
+def split_samples(rows: DataFrame, name: str, column: str) -> DataFrame:
+    """One sample per distinct value of a column: `sample` is the name with the value, the name alone for null."""
+    return rows.withColumn("sample", F.concat_ws(" ", F.lit(name), F.col(column).cast("string")))
+
+
+def concatenated(parts: dict[str, DataFrame], order: str) -> DataFrame:
+    """Samples below each other over the columns that all share, with `sample_id` and the event's number in its sample's `order` (`source_event`, kept from the source)."""
+    names = [c for c in next(iter(parts.values())).columns if all(c in p.columns for p in parts.values())]
+    rows = [p.select(F.lit(k).alias("sample_id"), F.col(order).alias("source_event"), *[c for c in names if c != order]) for k, p in parts.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def count_differences(before: DataFrame, after: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Counts of two tables side by side with their difference, the largest first; a missing one counts 0."""
+    a, b = before.select(*keys, F.col(count).alias("before")), after.select(*keys, F.col(count).alias("after"))
+    both = a.join(b, keys, "full_outer").fillna(0, ["before", "after"]).withColumn("difference", F.col("after") - F.col("before"))
+    return both.orderBy(F.abs("difference").desc(), *keys)

@@ -108,6 +108,72 @@ def detection_limits(df: DataFrame, level: str, value: str, blank: Column) -> Da
     return blanks.join(pooled).select(lob.alias("lob"), (lob + 1.645 * F.col("pooled")).alias("lod"))
 
 
+def rank_limits(df: DataFrame, value: str, blank: Column, share: float = 0.95) -> DataFrame:
+    """Limit of blank by ranks: the value at rank share * n + 0.5 of the blanks, between its neighbours, and the number of blanks. One row.
+
+    Interpolation between ranks is that of the quantile at (rank - 1) / (n - 1), so the limit comes from the exact quantiles of the two ranks.
+    """
+    x = clean(F.col(value))
+    kept = df.where(blank & x.isNotNull()).select(x.alias("_x"))
+    counted = kept.groupBy("_x").agg(F.count("*").alias("_n"))
+    placed = ordered.cumulative(counted, [], "_x", ["_n"]).crossJoin(F.broadcast(counted.agg(F.sum("_n").alias("_all"))))  # one row
+    rank = F.col("_all") * share + 0.5
+    at = lambda r: F.min(F.when(F.col("cum__n") >= F.least(r, F.col("_all")), F.col("_x")))
+    low = placed.agg(at(F.floor(rank)).alias("a"), at(F.ceil(rank)).alias("b"), F.max("_all").alias("blanks"), F.max(rank - F.floor(rank)).alias("f"))
+    return low.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("lob"), "blanks")
+
+
+def quantification_limit(df: DataFrame, level: str, value: str, cv: float = 20.0) -> DataFrame:
+    """The smallest level whose readings scatter by at most `cv` percent of their mean, at it and at every higher level; null if none. One row."""
+    x = clean(F.col(value))
+    own = df.groupBy(level).agg(F.avg(x).alias("m"), ratio(100 * F.stddev_samp(x), F.abs(F.avg(x))).alias("cv")).where(F.col(level).isNotNull())
+    bad = own.agg(F.max(F.when(~F.coalesce(F.col("cv") <= cv, F.lit(False)), F.col(level))).alias("_bad"))  # the highest level that fails
+    return own.crossJoin(F.broadcast(bad)).agg(F.min(F.when(F.col("_bad").isNull() | (F.col(level) > F.col("_bad")), F.col(level))).alias("loq"))
+
+
+def events_needed(cv: Column) -> Column:
+    """Events that a count needs for a counting error of `cv` percent."""
+    return F.ceil(F.pow(100.0 / cv, 2))
+
+
+def filled_histogram(df: DataFrame, by: list[str], channel: str, low: float, high: float, bins: int, half: int = 0) -> DataFrame:
+    """A histogram with a row for every bin, empty ones too, and its centred moving average over 2 * half + 1 bins (`smooth`), fewer at the ends."""
+    counts = histogram(df, by, channel, low, high, bins)
+    every = df.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")) if by else df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    near = Window.partitionBy(*by).orderBy("bin").rowsBetween(-half, half)  # `bins` rows a group
+    filled = join_groups(every, counts, [*by, "bin"]).withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+    return filled.withColumn("smooth", F.avg("count").over(near))
+
+
+def bandwidths(df: DataFrame, by: list[str], channel: str) -> DataFrame:
+    """Kernel density bandwidths per group: Silverman's and Scott's rules and that of R's nrd0."""
+    x = clean(F.col(channel))
+    q = ordered.quantiles(df, by, {"x": x}, [0.25, 0.75], beside=[F.stddev_samp(x).alias("sd"), F.count(x).alias("n")])
+    spread = ratio(F.col("q_x")[1] - F.col("q_x")[0], F.lit(1.34))
+    least = F.when((spread > 0) & (spread < F.col("sd")), spread).otherwise(F.col("sd"))
+    scale = F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    first = F.col("q_x")[0]
+    nrd0 = F.when(least > 0, least).when(first != 0, F.abs(first)).otherwise(1.0)
+    return q.select(*by, (0.9 * least * scale).alias("silverman"), (1.06 * F.col("sd") * scale).alias("scott"), (0.9 * nrd0 * scale).alias("nrd0"))
+
+
+def event_densities(df: DataFrame, x: str, y: str, x_range: tuple, y_range: tuple, bins: int) -> DataFrame:
+    """The events with the count of their cell of a grid (`density`); events without both values get null. The cells are few rows, the events are not reordered."""
+    at = lambda c, ends: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((clean(F.col(c)) - ends[0]) / (ends[1] - ends[0]) * bins))).cast("int")
+    cells = histogram2d(df, x, y, x_range, y_range, bins).select(F.col("x_bin").alias("_xb"), F.col("y_bin").alias("_yb"), F.col("count").alias("density"))
+    return df.withColumns({"_xb": F.when(clean(F.col(x)).isNotNull(), at(x, x_range)), "_yb": F.when(clean(F.col(y)).isNotNull(), at(y, y_range))}).join(F.broadcast(cells), ["_xb", "_yb"], "left").drop("_xb", "_yb")  # bins * bins rows
+
+
+def density_peaks(filled: DataFrame, by: list[str], floor: float = 0.05) -> DataFrame:
+    """Local maxima of a filled histogram's `smooth` of at least `floor` of the highest, ranked by height (ties by bin). A plateau counts once, at its first bin."""
+    order, group = Window.partitionBy(*by).orderBy("bin"), Window.partitionBy(*by)
+    rows = filled.withColumns({"_new": (F.col("smooth") != F.coalesce(F.lag("smooth").over(order), F.lit(-1.0))).cast("int"), "_top": F.max("smooth").over(group)})
+    steps = rows.withColumn("_p", F.sum("_new").over(order)).groupBy(*by, "_p").agg(F.min("bin").alias("bin"), F.max("smooth").alias("height"), F.max("_top").alias("_top"))
+    walk = Window.partitionBy(*by).orderBy("_p")
+    peak = (F.col("height") > F.coalesce(F.lag("height").over(walk), F.lit(-1.0))) & (F.col("height") > F.coalesce(F.lead("height").over(walk), F.lit(-1.0))) & (F.col("height") >= floor * F.col("_top"))
+    return steps.withColumn("_peak", peak).where("_peak AND height > 0").select(*by, "bin", "height", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("height"), "bin")).alias("rank"))
+
+
 def histogram(df: DataFrame, by: list[str], channel: str, low: float, high: float, bins: int, pile: bool = True) -> DataFrame:
     """Counts per bin; with `pile` values off the scale go to the end bins, else they are dropped."""
     x = clean(F.col(channel))

@@ -15,7 +15,7 @@ from strataflow.operators import joins as J
 from strataflow.operators import rejects
 from strataflow.operators import temporal as T
 from strataflow.plans.comparisons import _control, _round, _test
-from strataflow.plans.queries import register
+from strataflow.plans.queries import LAYOUTS, register
 from strataflow.sources.fcs import FcsSource
 from strataflow.streaming import folder as stream
 
@@ -42,10 +42,12 @@ register("readings_with_samples", lambda s, d: _round(J.with_dimension(first_del
     f"SELECT role, count(*) AS n, round(avg(value), 4) AS mean FROM (SELECT DISTINCT ON (reading_id) * FROM qc_readings) q JOIN (SELECT sample_id, role FROM {_S}) USING (sample_id) GROUP BY 1")
 register("natural_order", lambda s, d: _samples(s, d, "file_name").select("sample_id", X.natural_key(F.col("file_name")).alias("key")),
     f"SELECT sample_id, array_to_string(list_transform(regexp_extract_all(lower(file_name), '\\d+|\\D+'), lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN lpad(regexp_replace(p, '^0+(.)', '\\1'), 12, '0') ELSE p END), '') AS key FROM {_S}")
-register("sample_roles", lambda s, d: _samples(s, d, "name").groupBy(X.role(F.col("name")).alias("guess")).count())
+register("sample_roles", lambda s, d: _samples(s, d, "name").groupBy(X.role(F.col("name")).alias("guess")).count(),
+    f"SELECT CASE WHEN regexp_matches(lower(name), 'unstained|\\bus\\b') THEN 'unstained' WHEN regexp_matches(lower(name), '\\bfmo\\b') THEN 'fmo' WHEN regexp_matches(lower(name), 'single|\\bcomp') THEN 'single stain' WHEN regexp_matches(lower(name), 'bead|rainbow') THEN 'beads' WHEN regexp_matches(lower(name), 'blank|vehicle|dmso|\\bneg') THEN 'control' ELSE 'sample' END AS guess, count(*) AS count FROM {_S} GROUP BY 1")
 register("name_matches", lambda s, d: J.matched(table(s, d, "supplier").select(F.concat(F.lit("Maker of "), F.col("s_name")).alias("name")).unionByName(table(s, d, "supplier").select(F.upper("s_name").alias("name"))), table(s, d, "supplier").select(F.col("s_name").alias("name")), "name", [F.col("name"), F.lower("name"), X.normalised(F.regexp_replace("name", "^Maker of ", ""))]),
     "WITH k AS (SELECT s_name AS name, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS n FROM supplier), w AS (SELECT 'Maker of ' || s_name AS wanted, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS n FROM supplier UNION ALL SELECT upper(s_name), lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) FROM supplier) SELECT wanted, min(name) AS match FROM w JOIN k USING (n) GROUP BY ALL")
-register("plate_duplicates", lambda s, d: J.duplicates(rejects.valid_rows(table(s, d, "layout_lines", "line_id", "file_name", "line_no", "raw")), ["file_name", "plate", "well_row", "well_column"]))
+register("plate_duplicates", lambda s, d: J.duplicates(rejects.valid_rows(table(s, d, "layout_lines", "line_id", "file_name", "line_no", "raw")), ["file_name", "plate", "well_row", "well_column"]),
+    LAYOUTS + "SELECT file_name, g[1] AS plate, CAST(r AS INT) AS well_row, CAST(c AS INT) AS well_column, count(*) AS count FROM v WHERE reason IS NULL GROUP BY ALL HAVING count(*) > 1")
 SIZES = range(1, 51)
 register("plate_map", lambda s, d: table(s, d, "part").groupBy("p_brand").pivot("p_size", list(SIZES)).count().fillna(0),
     "SELECT p_brand, " + ", ".join(f"count(*) FILTER (WHERE p_size = {k}) AS \"{k}\"" for k in SIZES) + " FROM part GROUP BY 1")
@@ -55,7 +57,10 @@ def _valid(s, d):
     return rejects.valid_rows(table(s, d, "layout_lines", "line_id", "file_name", "line_no", "raw"))
 
 
-register("doses", lambda s, d: _valid(s, d).where("dose IS NOT NULL AND unit IS NOT NULL").select("line_id", X.quantity(F.concat_ws(" ", F.col("dose").cast("string"), "unit")).alias("q")).where("q IS NOT NULL").select("line_id", "q.value", "q.unit", F.round(F.log10(F.when(F.col("q.base") > 0, F.col("q.base"))), 6).alias("log_base")))
+register("doses", lambda s, d: _valid(s, d).where("dose IS NOT NULL AND unit IS NOT NULL").select("line_id", X.quantity(F.concat_ws(" ", F.col("dose").cast("string"), "unit")).alias("q")).where("q IS NOT NULL").select("line_id", "q.value", "q.unit", F.round(F.log10(F.when(F.col("q.base") > 0, F.col("q.base"))), 6).alias("log_base")),
+    LAYOUTS + """, z AS (SELECT line_id, CAST(replace(g[6], ',', '.') AS DOUBLE) AS value, g[7] AS unit FROM v WHERE reason IS NULL AND g[6] <> '' AND regexp_full_match(g[7], '[A-Za-zµ%/]+')),
+p AS (SELECT *, CASE WHEN length(unit) > 1 THEN CASE unit[1] WHEN 'p' THEN -12 WHEN 'n' THEN -9 WHEN 'µ' THEN -6 WHEN 'u' THEN -6 WHEN 'm' THEN -3 WHEN 'k' THEN 3 ELSE 0 END ELSE 0 END AS e FROM z)
+SELECT line_id, value, unit, CASE WHEN value > 0 THEN round(log10(value * pow(10.0, e)), 6) END AS log_base FROM p""")
 _HIGH, _LOW = "l_quantity >= 45", "l_quantity <= 5"
 register("z_prime", lambda s, d: _round(A.z_prime(_items(s, d, "l_returnflag", "l_quantity", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", F.expr(_HIGH), F.expr(_LOW))),
     f"SELECT l_returnflag, round(1 - 3 * (stddev_samp(l_extendedprice) FILTER (WHERE {_HIGH}) + stddev_samp(l_extendedprice) FILTER (WHERE {_LOW})) / abs(avg(l_extendedprice) FILTER (WHERE {_HIGH}) - avg(l_extendedprice) FILTER (WHERE {_LOW})), 6) AS z_prime FROM lineitem GROUP BY 1")
@@ -70,7 +75,11 @@ def _codes(s, d):
 
 register("codes", lambda s, d: _round(_codes(s, d).select("vec_id", "code", "separation")),
     "WITH x AS (SELECT vec_id, unnest(range(1, 7)) AS i, unnest(embedding[1:6])::DOUBLE AS v FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM x) SELECT vec_id, string_agg(i::VARCHAR, '+' ORDER BY i) FILTER (WHERE k <= 3) AS code, round(max(v) FILTER (WHERE k = 3) - max(v) FILTER (WHERE k = 4), 6) AS separation FROM r GROUP BY 1")
-register("quantile_normalised", lambda s, d: _round(A.quantile_normalised(_items(s, d, "l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice").groupBy("l_returnflag").agg(F.avg("normalised").alias("mean"), F.percentile("normalised", F.lit(0.5)).alias("median")), 4))
+register("quantile_normalised", lambda s, d: _round(A.quantile_normalised(_items(s, d, "l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice").groupBy("l_returnflag").agg(F.avg("normalised").alias("mean"), F.min("normalised").alias("least"), F.max("normalised").alias("most")), 4),
+    """WITH k AS (SELECT l_returnflag, unnest(range(1, 32)) AS k, unnest(quantile_cont(l_extendedprice, [x / 32.0 FOR x IN range(1, 32)])) AS q FROM lineitem GROUP BY 1), g AS (SELECT k, avg(q) AS g FROM k GROUP BY 1),
+b AS (SELECT l_returnflag, k, q, g, lead(q) OVER w AS q2, lead(g) OVER w AS g2, lag(q) OVER w AS q0 FROM k JOIN g USING (k) WINDOW w AS (PARTITION BY l_returnflag ORDER BY k)),
+m AS (SELECT i.l_returnflag, CASE WHEN b.k IS NULL THEN x + f.g - f.q WHEN b.q2 IS NULL THEN x + b.g - b.q ELSE b.g + (x - b.q) / (b.q2 - b.q) * (b.g2 - b.g) END AS y FROM (SELECT l_returnflag, l_extendedprice AS x FROM lineitem) i JOIN b f ON f.l_returnflag = i.l_returnflag AND f.k = 1 LEFT JOIN b ON b.l_returnflag = i.l_returnflag AND x >= b.q AND (b.q2 IS NULL OR x < b.q2))
+SELECT l_returnflag, round(avg(y), 4) AS mean, round(min(y), 4) AS least, round(max(y), 4) AS most FROM m GROUP BY 1""")
 register("dose_response", lambda s, d: _round(A.dose_response(_items(s, d, "l_returnflag", "l_quantity", "l_extendedprice"), "l_returnflag", "l_quantity", "l_extendedprice"), 3))
 register("outlying_slices", lambda s, d: A.outlying_slices(T.rates(table(s, d, "events"), ["event_type"], "ts", 3600.0), "event_type"))
 register("sampled", lambda s, d: A.sampled(_items(s, d, "l_returnflag", "l_orderkey", "l_linenumber"), ["l_returnflag"], ["l_orderkey", "l_linenumber"], 100))

@@ -9,7 +9,9 @@ import pytest
 from tests.oracle import compare, connect
 
 import strataflow.plans.assays  # noqa: F401
+import strataflow.plans.catalogue  # noqa: F401
 import strataflow.plans.comparisons  # noqa: F401
+import strataflow.plans.designs  # noqa: F401
 import strataflow.plans.further  # noqa: F401
 import strataflow.plans.populations  # noqa: F401
 from strataflow.plans.queries import ORACLE, QUERIES
