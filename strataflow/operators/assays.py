@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.common import join_groups
+from strataflow.common import clean, cut, join_groups
 from strataflow.functions import special
 from strataflow.operators import ordered
-from strataflow.operators.statistics import clean, ratio
+from strataflow.operators.statistics import ratio
 
 
 def z_prime(df: DataFrame, by: list[str], channel: str, positive: Column, negative: Column) -> DataFrame:
@@ -26,7 +26,7 @@ def robust_z_prime(df: DataFrame, by: list[str], channel: str, positive: Column,
     """As `z_prime`, with medians for means and 1.4826 MAD for standard deviations."""
     x = clean(F.col(channel))
     rows = df.select(*by, F.when(positive, x).alias("_p"), F.when(negative, x).alias("_n"))
-    middle = ordered.quantiles(rows, by, {"p": F.col("_p"), "n": F.col("_n")}, [0.5]).select(*by, F.col("q_p")[0].alias("_mp"), F.col("q_n")[0].alias("_mn"))
+    middle = cut(ordered.quantiles(rows, by, {"p": F.col("_p"), "n": F.col("_n")}, [0.5]).select(*by, F.col("q_p")[0].alias("_mp"), F.col("q_n")[0].alias("_mn")))  # a row per group
     away = ordered.quantiles(join_groups(rows, middle, by), by, {"p": F.abs(F.col("_p") - F.col("_mp")), "n": F.abs(F.col("_n") - F.col("_mn"))}, [0.5])
     both = join_groups(middle, away, by)
     return both.select(*by, (1 - ratio(3 * 1.4826 * (F.col("q_p")[0] + F.col("q_n")[0]), F.abs(F.col("_mp") - F.col("_mn")))).alias("z_prime"))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.common import clean, join_groups
+from strataflow.common import clean, cut, join_groups
 from strataflow.operators import ordered
 from strataflow.operators.statistics import ratio
 
 
 def bin_outliers(binned: DataFrame, by: list[str], value: str, times: float = 6.0) -> DataFrame:
     """Bins whose value lies more than `times` 1.4826 MAD from their group's median: the column `outlier`; false for empty bins."""
-    x = clean(F.col(value))
-    middle = ordered.quantiles(binned, by, {"x": x}, [0.5]).select(*by, F.col("q_x")[0].alias("_m"))
+    x, binned = clean(F.col(value)), cut(binned)  # few rows, read four times
+    middle = cut(ordered.quantiles(binned, by, {"x": x}, [0.5]).select(*by, F.col("q_x")[0].alias("_m")))
     away = join_groups(binned, middle, by)
     spread = ordered.quantiles(away, by, {"d": F.abs(x - F.col("_m"))}, [0.5]).select(*by, (1.4826 * F.col("q_d")[0]).alias("_s"))
     return join_groups(away, spread, by).withColumn("outlier", F.coalesce(F.abs(x - F.col("_m")) > times * F.col("_s"), F.lit(False))).drop("_m", "_s")
@@ -47,7 +47,7 @@ def findings(summary: DataFrame, by: list[str], flags: list[str], much: float =
 def review_order(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Rows by how unusual their value is in their group: `score` (distance from the median in 1.4826 MAD), the largest first."""
     x = clean(F.col(value))
-    middle = ordered.quantiles(rows, by, {"x": x}, [0.5]).select(*by, F.col("q_x")[0].alias("_m"))
+    middle = cut(ordered.quantiles(rows, by, {"x": x}, [0.5]).select(*by, F.col("q_x")[0].alias("_m")))  # a row per group
     away = join_groups(rows, middle, by)
     spread = ordered.quantiles(away, by, {"d": F.abs(x - F.col("_m"))}, [0.5]).select(*by, (1.4826 * F.col("q_d")[0]).alias("_s"))
     return join_groups(away, spread, by).withColumn("score", ratio(F.abs(x - F.col("_m")), F.col("_s"))).drop("_m", "_s").orderBy(F.desc_nulls_last("score"))

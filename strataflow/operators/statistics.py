@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.common import clean, join_groups
+from strataflow.common import clean, cut, join_groups
 from strataflow.operators import ordered
 
 Z95 = 1.959963984540054
@@ -64,7 +64,7 @@ def describe(df: DataFrame, by: list[str], channels: list[str], stats: list[str]
 def mad(df: DataFrame, by: list[str], channel: str, scale: float = 1.0) -> DataFrame:
     """Median absolute deviation per group: medians first, then the medians of the deviations from them."""
     x = clean(F.col(channel))
-    middle = ordered.quantiles(df, by, {"x": x}, [0.5]).select(*by, F.col("q_x")[0].alias("_m"))
+    middle = cut(ordered.quantiles(df, by, {"x": x}, [0.5]).select(*by, F.col("q_x")[0].alias("_m")))  # a row per group
     away = ordered.quantiles(join_groups(df, middle, by), by, {"d": F.abs(x - F.col("_m"))}, [0.5])
     return away.select(*by, (F.col("q_d")[0] * scale).alias("mad"))
 
@@ -72,7 +72,7 @@ def mad(df: DataFrame, by: list[str], channel: str, scale: float = 1.0) -> DataF
 def mode(df: DataFrame, by: list[str], channel: str, bins: int = 256) -> DataFrame:
     """Centre of the fullest of `bins` bins between the 0.5th and 99.5th percentile; the lowest wins ties."""
     x = clean(F.col(channel))
-    ends = ordered.quantiles(df, by, {"x": x}, [0.005, 0.995]).select(*by, F.col("q_x")[0].alias("low"), F.col("q_x")[1].alias("high"))
+    ends = cut(ordered.quantiles(df, by, {"x": x}, [0.005, 0.995]).select(*by, F.col("q_x")[0].alias("low"), F.col("q_x")[1].alias("high")))  # a row per group
     at = F.floor((x - F.col("low")) / (F.col("high") - F.col("low")) * bins)
     counted = (
         join_groups(df, ends, by)

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from strataflow.common import join_groups
+from strataflow.common import clean, cut, join_groups
 from strataflow.operators import ordered
-from strataflow.operators.statistics import clean, ratio
+from strataflow.operators.statistics import ratio
 
 
 def seconds(ts: str) -> Column:
