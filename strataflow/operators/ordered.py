@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.common import clean, join_groups
+from strataflow.common import clean, cut, join_groups
 
 #: Buckets of a group by approximate quantiles: STEP coarse ones of STEP fine ones each; they are parted further for more than TARGET values in one.
 STEP = 8
@@ -112,16 +112,19 @@ def quantiles(df: DataFrame, by: list[str], columns: dict[str, Column], probabil
     step = MARGIN / ACCURACY
     ends = [min(max(q + s, 0.0), 1.0) for s in (-step, step) for q in wanted]  # the brackets' lower ends, then their upper ends
     sketched = [x for k, v in enumerate(values) for x in (F.count(v).alias(f"_n{k}"), F.percentile_approx(v, ends, ACCURACY).alias(f"_e{k}"))]
+    # One row per group, kept, so that nothing of the first scan is done twice.
     if beside:
         sketches = df.select("*", *[F.col(c).alias(k) for c, k in zip(by, keys)], *[c.cast("double").alias(v) for c, v in zip(columns.values(), values)]).groupBy(*keys).agg(*sketched, *beside)
     else:
         sketches = wide.groupBy(*keys).agg(*sketched)
+    sketches = cut(sketches)
     extra = [c for c in sketches.columns if c not in keys and not c.startswith(("_n", "_e"))]
+    most = sketches.agg(F.max(F.greatest(*[F.col(f"_n{k}") for k in range(len(values))], F.lit(0)))).first()[0] or 0
     # A value's place: the number of brackets that begin at or below it, and the value itself if it lies inside one.
     at, own = len(wanted), [*keys, "_c"]
     flat = [F.get(f"_e{k}", i).alias(f"_e{k}_{i}") for k in range(len(values)) for i in range(2 * at)] if at <= 8 else [F.col(f"_e{k}") for k in range(len(values))]
     near = sketches.select(*keys, *[F.ceil(F.col(f"_n{k}") * (2 * MARGIN / ACCURACY) / TARGET).alias(f"_p{k}") for k in range(len(values))], *flat)
-    rows, structs = join_groups(wide, near, keys), []
+    rows, structs, places = join_groups(wide, near, keys), [], {}
     for k, v in enumerate(values):
         x = F.col(v)
         if at <= 8:
@@ -132,26 +135,39 @@ def quantiles(df: DataFrame, by: list[str], columns: dict[str, Column], probabil
             edges = F.col(f"_e{k}")
             begun = F.size(F.filter(F.slice(edges, 1, at), lambda e: e <= x))  # noqa: B023
             lower, upper = F.get(edges, begun - 1), F.get(edges, F.when(begun > 0, begun + (at - 1)))
-        rows = rows.withColumns({f"_k{k}": F.when(x.isNotNull(), begun), f"_l{k}": lower, f"_u{k}": upper})
+        places |= {f"_k{k}": F.when(x.isNotNull(), begun), f"_l{k}": lower, f"_u{k}": upper}
+    rows = rows.withColumns(places)
     for k, v in enumerate(values):
         x, inside = F.col(v), F.coalesce(F.col(v) <= F.col(f"_u{k}"), F.lit(False))
         part = F.when(inside & (F.col(f"_p{k}") > 1), _part(x, F.col(f"_l{k}"), F.col(f"_u{k}"), F.col(f"_p{k}"))).otherwise(F.lit(0).cast("long"))
         structs.append(F.struct(F.lit(k).alias("_c"), F.col(f"_k{k}").alias("_k"), (~inside).alias("_gap"), part.alias("_p"), F.when(inside, x).alias("_x"), x.alias("_v")))
     counted = rows.select(*keys, F.inline(F.array(*structs))).where("_k IS NOT NULL").groupBy(*own, "_k", "_gap", "_p", "_x").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    totals = counted.groupBy(*own, "_k", "_gap", "_p").agg(F.sum("_n").alias("_t"))
     group = Window.partitionBy(*own)
-    before = group.orderBy("_k", "_gap", "_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumns({"_o": F.coalesce(F.sum("_t").over(before), F.lit(0)), "_all": F.sum("_t").over(group)})
+    order = ["_k", "_gap", "_p"]
     ranks = [x for q in wanted for x in (F.floor((F.col("_all") - 1) * q), F.ceil((F.col("_all") - 1) * q))]
-    held = offsets.where(F.exists(F.array(*ranks), lambda r: (r >= F.col("_o")) & (r < F.col("_o") + F.col("_t"))))
-    inside = Window.partitionBy(*own, "_k", "_gap", "_p").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = join_groups(counted, held, [*own, "_k", "_gap", "_p"], "inner").withColumn("_end", F.col("_o") + F.sum("_n").over(inside))
+    if most * at * 2 * MARGIN / ACCURACY <= TARGET:
+        # What lies in the brackets of one group fits a task.
+        walk = group.orderBy(*order, "_x").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counted.withColumns({"_end": F.sum("_n").over(walk), "_all": F.sum("_n").over(group)})
+    else:
+        # The filter on the ends keeps both uses of `counted` alike, so that Spark makes it once.
+        totals = counted.groupBy(*own, *order).agg(F.sum("_n").alias("_t"), F.min("_low").alias("_a"), F.max("_high").alias("_b")).where("_a <= _b")
+        before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.withColumns({"_o": F.coalesce(F.sum("_t").over(before), F.lit(0)), "_all": F.sum("_t").over(group)}).drop("_a", "_b")
+        held = offsets.where(F.exists(F.array(*ranks), lambda r: (r >= F.col("_o")) & (r < F.col("_o") + F.col("_t"))))
+        inside = Window.partitionBy(*own, *order).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+        placed = join_groups(counted, held, [*own, *order], "inner").withColumn("_end", F.col("_o") + F.sum("_n").over(inside))
     # In small groups a wanted rank may be the first or the last of a gap: these two values are known.
     first = F.col("_end") - F.col("_n")
     pick = lambda r: F.max(F.when((r >= first) & (r < F.col("_end")), F.when((r == first) | ~F.col("_gap"), F.col("_low")).when(r == F.col("_end") - 1, F.col("_high"))))
     picked = placed.groupBy(*own).agg(F.max("_all").alias("_all"), *[pick(r).alias(f"_r{k}") for k, r in enumerate(ranks)])
     share = lambda q: (F.col("_all") - 1) * q - F.floor((F.col("_all") - 1) * q)
     found = {q: F.col(f"_r{2 * k}") + (F.col(f"_r{2 * k + 1}") - F.col(f"_r{2 * k}")) * share(q) for k, q in enumerate(wanted)}
-    wide_q = picked.select(*own, F.array(*[found[q] for q in probabilities]).alias("_q")).groupBy(*keys).agg(*[F.max(F.when(F.col("_c") == k, F.col("_q"))).alias(f"q_{name}") for k, name in enumerate(names)])
+    if len(names) == 1:
+        wide_q = picked.select(*keys, F.array(*[found[q] for q in probabilities]).alias(f"q_{names[0]}"))
+    else:
+        wide_q = picked.select(*own, F.array(*[found[q] for q in probabilities]).alias("_q")).groupBy(*keys).agg(*[F.max(F.when(F.col("_c") == k, F.col("_q"))).alias(f"q_{name}") for k, name in enumerate(names)])
+    if not keys:  # a single row, also when no value is there
+        wide_q = wide_q.agg(*[F.max(f"q_{name}").alias(f"q_{name}") for name in names])
     out = join_groups(sketches, wide_q, keys)
     return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], *[x for k, name in enumerate(names) for x in (F.coalesce(F.col(f"_n{k}"), F.lit(0)).alias(f"n_{name}"), F.col(f"q_{name}"))], *extra)

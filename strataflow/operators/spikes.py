@@ -1,8 +1,10 @@
 """Implausible readings of measurement series: spikes, stuck values and impossible readings, each relative to its source.
 
 The readings are spread over the tasks by ranges of (source, field, time), so that a source of any share
-of the rows is split and every task walks sorted rows in blocks. All decisions about a reading depend on
-at most CONTEXT readings on either side. The few readings nearer than that to the edge of a range are
+of the rows is split and every task walks sorted rows in blocks. The decision about a candidate depends on
+at most CONTEXT readings on either side. Which readings become candidates depends on the stretch of FIT to
+twice FIT readings that the ellipsoid is fitted to, and stretches begin where a task's rows of a source do;
+the decision that follows is far stricter than the ellipsoid. The few readings nearer than that to the edge of a range are
 written out with their neighbours and decided in a second, small step.
 
 impossible: outside the detector's bounds. stuck: part of a run of RUN or more equal numbers. spike, by
@@ -40,8 +42,8 @@ WIDE = 50  # readings on either side that tell the usual scatter
 NEAR, FAR = 30, 100  # readings (also unusable ones) within which the running median and the scatter look for them
 CONTEXT = NEAR + FAR + MOST + 10
 BLOCK = 1 << 16
-#: Axes of the ellipsoid in robust standard deviations, rounds of its fit, and readings per fit.
-AXIS, ROUNDS, FIT = 4.0, 4, 128
+#: Axes of the ellipsoid in robust standard deviations, and readings per fit.
+AXIS, FIT = 4.0, 128
 
 STREAM = "source long, field int, at long, reading_id long, number double, impossible boolean"
 OUT = STREAM + ", kind string, open boolean, part int"
@@ -116,7 +118,7 @@ def _candidates(x: np.ndarray, level: np.ndarray, seg: np.ndarray) -> np.ndarray
     counts = np.diff(np.r_[starts, n])
     out = np.zeros(n, bool)
     y = x.copy()
-    for _ in range(ROUNDS):
+    while True:  # each round adds a candidate or is the last
         u = y - level
         d = np.r_[0.0, np.diff(u)]
         d[start] = 0
