@@ -16,7 +16,7 @@ from strataflow.operators import rejects
 from strataflow.operators import temporal as T
 from strataflow.plans.comparisons import _control, _round, _test
 from strataflow.plans.queries import LAYOUTS, register
-from strataflow.sources.fcs import FcsSource
+from strataflow.sources.fcs import FcsSource, KeywordSource, acquisition
 from strataflow.streaming import folder as stream
 
 
@@ -124,16 +124,27 @@ register("ks_p", lambda s, d: _round(C.ks(_items(s, d, "l_returnflag", "l_linest
 register("poisson_intervals", lambda s, d: _round(_items(s, d, "l_returnflag", "l_quantity").groupBy("l_returnflag").agg(F.count_if(F.col("l_quantity") >= 50).alias("n")).select("l_returnflag", "n", special.column(special._vector(lambda n: special.poisson_interval(int(n))[0]))(F.col("n")).alias("low"), special.column(special._vector(lambda n: special.poisson_interval(int(n))[1]))(F.col("n")).alias("high")), 4))
 
 
-def _fcs(s, d):
-    """Events written as FCS files and read back: counts and means per channel."""
+def _fcs_files(s, d):
+    """Events written as FCS files to the shared folder."""
     s.dataSource.register(FcsSource)
+    s.dataSource.register(KeywordSource)
     path = f"{checkpoint_folder(s)}/fcs-{uuid.uuid4().hex}"
     _items(s, d, "l_quantity", "l_discount", "l_tax").write.format("fcs").mode("append").save(path)
-    df = s.read.format("fcs").load(path)
+    return path
+
+
+def _fcs(s, d):
+    """Counts and means per channel of events that were written as FCS files and read back."""
+    df = s.read.format("fcs").load(_fcs_files(s, d))
     return df.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
 
 
 register("fcs_round_trip", _fcs, "SELECT count(*) AS n, round(avg(l_quantity::FLOAT::DOUBLE), 6) AS l_quantity, round(avg(l_discount::FLOAT::DOUBLE), 6) AS l_discount, round(avg(l_tax::FLOAT::DOUBLE), 6) AS l_tax FROM lineitem")
+register("fcs_acquisition", lambda s, d: acquisition(s.read.format("fcs_keywords").load(_fcs_files(s, d))).groupBy("technology", "channels").agg(F.sum("events").alias("events")),
+    "SELECT 'conventional' AS technology, 3 AS channels, count(*) AS events FROM lineitem")
+_TECHNOLOGY = "CASE WHEN regexp_matches(lower(cyt), 'cytof|helios|dvs') THEN 'mass' WHEN regexp_matches(lower(cyt), 'aurora|northern lights|id7000|spectral') THEN 'spectral' ELSE 'conventional' END"
+register("sample_acquisition", lambda s, d: acquisition(_samples(s, d, "keywords").select("sample_id", F.explode("keywords").alias("keyword", "value")), "sample_id").groupBy("instrument", "technology").agg(F.count("*").alias("samples"), F.count("date").alias("dated")),
+    f"WITH k AS (SELECT sample_id, nullif(trim(keywords['$CYT']), '') AS cyt, nullif(trim(keywords['$DATE']), '') AS date FROM {_S} WHERE cardinality(keywords) > 0) SELECT cyt AS instrument, {_TECHNOLOGY} AS technology, count(*) AS samples, count(date) AS dated FROM k GROUP BY ALL")
 register("stream_counts", lambda s, d: stream.run_once(stream.parquet_stream(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")), "complete"),
     "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 register("stream_windows", lambda s, d: stream.run_once(stream.windowed(stream.parquet_stream(s, d, "events"), "ts", "event_type", "value", "6 hours"), "complete").select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total")),

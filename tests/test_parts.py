@@ -20,7 +20,7 @@ from strataflow.operators import ordered as O
 from strataflow.operators import statistics as S
 from strataflow.operators import temporal as T
 from strataflow.sources import delimited, gatingml
-from strataflow.sources.fcs import FcsSource, fcs_bytes, read_text
+from strataflow.sources.fcs import FcsSource, KeywordSource, acquisition, fcs_bytes, read_text, spillover
 
 NAN, INF = float("nan"), float("inf")
 
@@ -209,6 +209,62 @@ def test_fcs_files(spark, tmp_path):
     assert read_text(b"|A|1||2|B||C|x|") == {"A": "1|2", "B|C": "x"}
 
 
+def test_fcs_text_segments():
+    """Delimiters inside values are doubled; writers that leave values empty are told by the parameters' keywords."""
+    assert read_text(b"/A/x///B/y/") == {"A": "x/", "B": "y"}
+    assert read_text(b"/A/x//y/B/2/") == {"A": "x/y", "B": "2"}
+    assert read_text(b"/A/x////y/B/2/") == {"A": "x//y", "B": "2"}
+    words = read_text(b"/$BYTEORD/1,2,3,4/$PAR/1/$TOT/1/$P1N/X/$P1S//$P1B/32/$P1R/1024/$P1E/0,0/")
+    assert (words["$P1S"], words["$P1B"], words["$P1N"]) == ("", "32", "X")
+    assert read_text(b"") == {}
+
+
+def _fcs_file(words: str, body: bytes, start: int = 512, extra: str = "") -> bytes:
+    return (f"FCS3.0    {58:>8}{57 + len(words):>8}{start:>8}{start + len(body) - 1:>8}{0:>8}{0:>8}{words}{extra}").encode().ljust(start) + body
+
+
+def test_fcs_layouts(spark, tmp_path):
+    """Several data sets, packed and ASCII values, masked integers, floats that hold decades, supplemental text."""
+    head = "/$MODE/L/$BYTEORD/4,3,2,1/$BEGINDATA/512/"
+    one = _fcs_file(head + "$DATATYPE/F/$PAR/1/$TOT/2/$P1N/X/$P1B/32/$P1R/10/$NEXTDATA/600/", np.array([1.5, 2.5], ">f4").tobytes())
+    two = _fcs_file(head + "$DATATYPE/F/$PAR/1/$TOT/1/$P1N/X/$P1B/32/$P1R/10/$NEXTDATA/0/", np.array([7.5], ">f4").tobytes())
+    bits = "".join(f"{a:010b}{b:06b}" for a, b in [(1000, 63), (5, 2), (1023, 0)])
+    packed = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+    stext = "/$P1S/second/X Y/z/"
+    files = {
+        "many": one.ljust(600) + two,
+        "packed": _fcs_file(head + "$DATATYPE/I/$PAR/2/$TOT/3/$P1N/X/$P1B/10/$P1R/1024/$P2N/Y/$P2B/6/$P2R/64/", packed),
+        "ascii": _fcs_file(head + "$DATATYPE/A/$PAR/2/$TOT/2/$P1N/X/$P1B/3/$P1R/1000/$P2N/Y/$P2B/4/$P2R/10000/", b" 12 345 99 345"),
+        "free": _fcs_file(head + "$DATATYPE/A/$PAR/2/$TOT/2/$P1N/X/$P1B/*/$P1R/1000/$P2N/Y/$P2B/*/$P2R/1000/", b"1 2, 3\n4"),
+        "masked": _fcs_file(head + "$DATATYPE/I/$PAR/1/$TOT/2/$P1N/X/$P1B/16/$P1R/1000/", np.array([1 << 12 | 5, 900], ">u2").tobytes()),
+        "decades": _fcs_file(head + "$DATATYPE/F/$PAR/2/$TOT/2/$P1N/X/$P1B/32/$P1R/10000/$P1E/4,1/$P1G/2/$P2N/Y/$P2B/32/$P2R/9/$P2E/4,1/", np.array([[2, 50], [3, 1]], ">f4").tobytes()),
+        "more": _fcs_file(head + "$DATATYPE/F/$PAR/1/$TOT/1/$P1N/X/$P1B/32/$P1R/9/$BEGINSTEXT/400/$ENDSTEXT/418/", np.array([3], ">f4").tobytes()),
+    }
+    files["more"] = files["more"][:400] + stext.encode() + files["more"][419:]
+    spark.dataSource.register(FcsSource)
+    spark.dataSource.register(KeywordSource)
+    got = {}
+    for name, data in files.items():
+        (tmp_path / f"{name}.fcs").write_bytes(data)
+        df = spark.read.format("fcs").option("rows", 8).load(str(tmp_path / f"{name}.fcs"))
+        got[name] = [tuple(r) for r in df.orderBy("sample", "event").collect()]
+    assert got["many"] == [("many.fcs", 0, 1.5), ("many.fcs", 1, 2.5), ("many.fcs#2", 0, 7.5)]
+    assert [r[2:] for r in got["packed"]] == [(1000.0, 63.0), (5.0, 2.0), (1023.0, 0.0)]
+    assert [r[2:] for r in got["ascii"]] == [(12.0, 345.0), (99.0, 345.0)]
+    assert [r[2:] for r in got["free"]] == [(1.0, 2.0), (3.0, 4.0)]
+    assert [r[2:] for r in got["masked"]] == [(5.0,), (900.0,)]
+    assert [r[2:] for r in got["decades"]] == [(50.0, 50.0), (500.0, 1.0)]
+    words = {(r.sample, r.keyword): r.value for r in spark.read.format("fcs_keywords").load(str(tmp_path)).collect()}
+    assert words["more.fcs", "X Y"] == "z" and words["more.fcs", "$P1S"] == "second" and words["many.fcs#2", "$TOT"] == "1"
+
+
+def test_spillover_keywords(spark):
+    rows = [("a", "SPILL", "2,X,Y,1,0.1,0.2,1"), ("a", "$COMP", "1,Z,9"), ("b", "$SPILLOVER", "2,X,Y,1,0.1"), ("c", "SPILLOVER", "1,X,no"), ("d", "$CYT", "Aurora"), ("e", None, None)]
+    df = spark.createDataFrame(rows, "sample string, keyword string, value string")
+    assert {tuple(r) for r in spillover(df).collect()} == {("a", "X", "X", 1.0), ("a", "X", "Y", 0.1), ("a", "Y", "X", 0.2), ("a", "Y", "Y", 1.0)}
+    assert {r.sample: r.technology for r in acquisition(df).collect()}["d"] == "spectral"
+
+
 def test_gating_documents_round_trip():
     gates = [G.Gate("r", "rectangle", ("x", "y"), {"min": [0.0, None], "max": [None, 5.0]}), G.Gate("p", "polygon", ("x", "y"), {"vertices": [(0.0, 0.0), (1.0, 0.0), (0.5, 2.0)]}, "r"), G.Gate("b", "or", parent="r", operands=("p", "r"))]
     assert gatingml.read(gatingml.write(gates)) == gates
