@@ -80,23 +80,44 @@ def _part_children(node):
     return [(v, kind, f"{member}/{i}") for i, v in enumerate(node[0].get(member) or []) if v is not None]
 
 
-def label(run_id: int, tree: str, root, children, out: list, base: str) -> None:
+class Labels:
+    """The nodes of some runs in depth-first order, as parallel lists."""
+
+    def __init__(self) -> None:
+        self.run: list[int] = []  # which run of the batch
+        self.tree: list[int] = []  # 0 parts, 1 answer
+        self.pre: list[int] = []
+        self.post: list[int] = []
+        self.depth: list[int] = []
+        self.path: list[str] = []
+        self.node: list[tuple] = []
+
+
+def label(run: int, tree: int, root, children, out: Labels, base: str) -> None:
     """Append the nodes below `root` in depth-first order with their interval labels (root itself is none)."""
-    pre, stack = 0, [(iter(children(root)), None, base, 0)]
+    pre, first = 0, len(out.pre)
+    pres, posts, depths, paths, nodes = out.pre, out.post, out.depth, out.path, out.node
+    stack = [(iter(children(root)), -1, base)]
     while stack:
-        rest, row, path, depth = stack[-1]
-        node = next(rest, None)
-        if node is None:
+        rest, at, path = stack[-1]
+        for node in rest:
+            pre += 1
+            below = f"{path}/{node[2]}" if path else node[2]
+            pres.append(pre)
+            posts.append(pre)
+            depths.append(len(stack))
+            paths.append(below)
+            nodes.append(node)
+            inner = children(node)
+            if inner:
+                stack.append((iter(inner), len(posts) - 1, below))
+                break
+        else:
             stack.pop()
-            if row is not None:
-                row[3] = pre  # the largest pre-order number below: the interval's end
-            continue
-        pre += 1
-        below = f"{path}/{node[2]}" if path else node[2]
-        fields = {k: v for k, v in node[0].items() if not isinstance(v, list)} if node[1] in PARTS else None
-        row_new = [run_id, tree, pre, pre, depth + 1, node[1], node[2], below, json.dumps(fields) if fields is not None else _scalar(node[0])]
-        out.append(row_new)
-        stack.append((iter(children(node)), row_new, below, depth + 1))
+            if at >= 0:
+                posts[at] = pre  # the largest pre-order number below: the interval's end
+    out.run += [run] * (len(pres) - first)
+    out.tree += [tree] * (len(pres) - first)
 
 
 def link(run: np.ndarray, tree: np.ndarray, pre: np.ndarray, post: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -116,39 +137,42 @@ def link(run: np.ndarray, tree: np.ndarray, pre: np.ndarray, post: np.ndarray, d
     return parent
 
 
-def _nodes(batches: Iterator[pa.RecordBatch], trees: tuple[str, ...] = ("parts", "answer")) -> Iterator[pa.RecordBatch]:
+def _labelled(batches: Iterator[pa.RecordBatch], trees: tuple[str, ...]) -> Iterator[tuple[list, Labels, np.ndarray]]:
+    """The ids of a batch's runs, their labelled nodes and the place of each node's parent."""
     for batch in batches:
-        rows: list[list] = []
-        ordinal: list[int] = []
-        size = 0
-        ids = batch.column("run_id").to_pylist()
+        ids, out, size = batch.column("run_id").to_pylist(), Labels(), 0
         parts, answers = (batch.column(t).to_pylist() if t in trees else [None] * len(ids) for t in ("parts", "answer"))
-        for k, (run_id, part, answer) in enumerate(zip(ids, parts, answers)):
-            before = len(rows)
+        for k, (part, answer) in enumerate(zip(parts, answers)):
+            before = len(out.path)
             if part is not None:
-                label(run_id, "parts", ({"parts": part}, "root", ""), _part_children, rows, "")
+                label(k, 0, ({"parts": part}, "root", ""), _part_children, out, "")
             if answer is not None:
-                label(run_id, "answer", (read_json(answer), "root", ""), _json_children, rows, "answer")
-            ordinal += [k] * (len(rows) - before)
-            size += sum(len(r[7]) for r in rows[before:])
+                label(k, 1, (read_json(answer), "root", ""), _json_children, out, "answer")
+            size += sum(map(len, out.path[before:]))
             if size > PATHS:  # paths of deep documents are long
-                yield _linked(rows, ordinal)
-                rows, ordinal, size = [], [], 0
-        yield _linked(rows, ordinal)
-
-
-def _linked(rows: list[list], ordinal: list[int]) -> pa.RecordBatch:
-    """The nodes of whole runs with their parents."""
-    tree = np.array([r[1] == "answer" for r in rows], np.int64)
-    pre, post, depth = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4))
-    parent = link(np.array(ordinal, np.int64), tree, pre, post, depth)
-    top = {"parts": "", "answer": "answer"}
-    for row, p in zip(rows, parent.tolist()):
-        row += [rows[p][2], rows[p][7]] if p >= 0 else [None, top[row[1]]]
+                yield ids, out, _parents(out)
+                out, size = Labels(), 0
+        yield ids, out, _parents(out)
+
+
+def _parents(x: Labels) -> np.ndarray:
+    return link(*(np.array(v, np.int64) for v in (x.run, x.tree, x.pre, x.post, x.depth)))
+
+
+TOP = ("", "answer")
+
+
+def _nodes(batches: Iterator[pa.RecordBatch], trees: tuple[str, ...] = ("parts", "answer")) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in LINKED.split(", ")]
     types = {"run_id": pa.int64(), "pre": pa.int32(), "post": pa.int32(), "depth": pa.int32(), "parent_pre": pa.int32()}
-    columns = list(zip(*rows)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, columns)], names=names)
+    for ids, x, parent in _labelled(batches, trees):
+        values = [json.dumps({k: v for k, v in n[0].items() if not isinstance(v, list)}) if n[1] in PARTS else _scalar(n[0]) for n in x.node]
+        above = parent.tolist()
+        columns = [
+            [ids[k] for k in x.run], ["answer" if t else "parts" for t in x.tree], x.pre, x.post, x.depth, [n[1] for n in x.node], [n[2] for n in x.node], x.path, values,
+            [x.pre[p] if p >= 0 else None for p in above], [x.path[p] if p >= 0 else TOP[t] for p, t in zip(above, x.tree)],
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, columns)], names=names)
 
 
 def node_table(runs: DataFrame, *trees: str) -> DataFrame:
@@ -157,9 +181,27 @@ def node_table(runs: DataFrame, *trees: str) -> DataFrame:
     return runs.select("run_id", *wanted).mapInArrow(lambda batches: _nodes(batches, wanted), LINKED)
 
 
+def _run_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per run: the paths of its items and of their parents."""
+    for ids, x, parent in _labelled(batches, ("parts", "answer")):
+        if not x.path:
+            continue
+        runs, above = np.array(x.run), [x.path[p] if p >= 0 else TOP[t] for p, t in zip(parent.tolist(), x.tree)]
+        paths = x.path
+        if any("?" in p for p in paths):  # names that differ in lone surrogates only have become one
+            once = {(k, p): i for i, (k, p) in reversed(list(enumerate(zip(x.run, paths))))}
+            keep = sorted(once.values())
+            runs, above, paths = runs[keep], [above[i] for i in keep], [paths[i] for i in keep]
+        first = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+        ends = pa.array(np.r_[first, len(runs)], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v, pa.string())) for v in (paths, above)]
+        yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in runs[first].tolist()], pa.int64()), *lists], names=["run_id", "path", "parent_path"])
+
+
 def items(runs: DataFrame) -> DataFrame:
-    """One row per item and its parent's path. Redelivered runs carry the same items, so they collapse per path."""
-    return node_table(runs).select("run_id", "path", "parent_path").distinct()
+    """One row per item and its parent's path. Redelivered runs carry the same items: one row per run is kept before the items are unfolded."""
+    own = runs.select("run_id", "parts", "answer").mapInArrow(_run_items, "run_id long, path array<string>, parent_path array<string>").dropDuplicates(["run_id"])
+    return own.select("run_id", F.inline(F.arrays_zip("path", "parent_path")))
 
 
 def typed_tables(runs: DataFrame) -> dict[str, DataFrame]:
