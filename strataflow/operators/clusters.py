@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -17,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.common import cut, join_groups
+from strataflow.common import BROADCAST_LIMIT, cut, join_groups
 from strataflow.operators import ordered
 
 #: Query vectors in one block.
@@ -32,34 +31,82 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest other rows of each query row: `query`, `neighbour`, `distance`, `rank`; ties go to the smaller id. Exact."""
+#: Distances worked out at a time in a task.
+CELLS = 1 << 22
+#: Vectors that the lists of the approximate search are fitted to, at most.
+FITTED = 50_000
+
+
+def _merge(kept: tuple, q: np.ndarray, d: np.ndarray, i: np.ndarray, k: int) -> tuple:
+    """The k best of each query among those kept and new ones (query number, distance, id); ties go to the smaller id."""
+    q, d, i = (np.concatenate(pair) for pair in zip(kept, (q, d, i)))
+    order = np.lexsort((i, d, q))
+    q, d, i = q[order], d[order], i[order]
+    first = np.searchsorted(q, q)
+    best = np.arange(len(q)) - first < k
+    return q[best], d[best], i[best]
+
+
+def _scan(ids: np.ndarray, points: np.ndarray, own: np.ndarray, values: np.ndarray, kept: tuple, k: int) -> tuple:
+    """Hold the rows of a batch against the queries in blocks: products of matrices find the candidates, their distances are then worked out exactly."""
+    squares, norm = (values * values).sum(axis=1), (points * points).sum(axis=1)
+    step = max(1, CELLS // max(len(values), 1))
+    limit = np.full(len(ids), np.inf)
+    counts = np.bincount(kept[0], minlength=len(ids))
+    full = counts >= k
+    if full.any():
+        limit[full] = np.maximum.reduceat(kept[1], np.searchsorted(kept[0], np.arange(len(ids)))[full]) if full.all() else np.array([kept[1][kept[0] == j].max() for j in np.flatnonzero(full)])
+    found_q, found_v = [], []
+    for a in range(0, len(ids), step):
+        d2 = norm[a : a + step, None] + squares[None] - 2.0 * (points[a : a + step] @ values.T)
+        d2[ids[a : a + step, None] == own[None]] = np.inf
+        top = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
+        slack = 1e-9 * (norm[a : a + step] + squares.max(initial=0.0))  # what rounding may add to a difference of squares
+        at = np.minimum(top, limit[a : a + step] ** 2) + slack
+        q, v = np.nonzero((d2 <= at[:, None]) & np.isfinite(d2))
+        found_q.append(q + a)
+        found_v.append(v)
+    q, v = np.concatenate(found_q), np.concatenate(found_v)
+    d = np.concatenate([np.sqrt(((points[q[a : a + CELLS // 64]] - values[v[a : a + CELLS // 64]]) ** 2).sum(axis=1)) for a in range(0, len(q), CELLS // 64)] or [np.zeros(0)])
+    return _merge(kept, q, d, own[v], k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", centers: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """The k nearest other rows of each query row: `query`, `neighbour`, `distance`, `rank`; ties go to the smaller id.
+
+    Exact; with `centers` each row belongs to the list of its nearest center, and a query looks into its `probes` nearest lists only.
+    """
     parts = []
     count = queries.count()
     blocks = max(1, -(-count // QUERY_BLOCK))
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
         rows = part.select(key, vector).where(F.col(vector).isNotNull()).collect()
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, points = shared.value
-            kept_d = np.full((len(ids), 0), np.inf)
-            kept_i = np.zeros((len(ids), 0), np.int64)
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), centers))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, points, middles = shared.value
+            kept = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+            looked = None
+            if middles is not None and len(ids):
+                apart = ((points[:, None] - middles[None]) ** 2).sum(axis=2)
+                looked = np.zeros(apart.shape, bool)
+                np.put_along_axis(looked, np.argsort(apart, axis=1)[:, :probes], True, axis=1)
             for batch in batches:
                 own = batch.column(0).to_numpy()
                 if not len(own) or not len(ids):
                     continue
                 values = np.array(batch.column(1).to_pylist(), float)
-                d = np.sqrt(((points[:, None, :] - values[None, :, :]) ** 2).sum(axis=2))
-                d[ids[:, None] == own[None, :]] = np.inf
-                kept_d = np.concatenate([kept_d, d], axis=1)
-                kept_i = np.concatenate([kept_i, np.broadcast_to(own, d.shape)], axis=1)
-                order = np.lexsort((kept_i, kept_d), axis=1)[:, :k]
-                kept_d, kept_i = np.take_along_axis(kept_d, order, 1), np.take_along_axis(kept_i, order, 1)
-            q = np.repeat(ids, kept_d.shape[1])
-            near = np.isfinite(kept_d.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(q[near]), pa.array(kept_i.ravel()[near]), pa.array(kept_d.ravel()[near])], names=["query", "neighbour", "distance"])
+                if looked is None:
+                    kept = _scan(ids, points, own, values, kept, k)
+                    continue
+                lists = (-2.0 * values @ middles.T + (middles * middles).sum(axis=1)).argmin(axis=1)
+                for at in np.unique(lists):
+                    asked, inside = np.flatnonzero(looked[:, at]), lists == at
+                    if len(asked):
+                        local = _scan(ids[asked], points[asked], own[inside], values[inside], (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)), k)
+                        kept = _merge(kept, asked[local[0]], local[1], local[2], k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[2]), pa.array(kept[1])], names=["query", "neighbour", "distance"])
 
         parts.append(vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(best, "query long, neighbour long, distance double"))
     out = parts[0]
@@ -69,6 +116,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_approximately(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 32, probes: int = 12, seed: int = 1, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """As `nearest`, by an inverted file: `lists` centers are fitted by k-means to at most about FITTED rows, every row is in the list of its nearest center, each query looks into `probes` lists."""
+    count = vectors.count()
+    sample = vectors if count <= FITTED else vectors.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int(FITTED / count * (1 << 30)))
+    data = sample.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    if data.limit(1).count() == 0:
+        return nearest(vectors, queries, k, key, vector)
+    model = KMeans(k=lists, seed=seed, maxIter=15).fit(data)
+    return nearest(vectors, queries, k, key, vector, np.array(model.clusterCenters()), probes)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of each query's exact neighbours that were found."""
+    hits = exact.select("query", "neighbour").join(found.select("query", "neighbour", F.lit(1).alias("hit")), ["query", "neighbour"], "left")
+    return hits.groupBy("query").agg((F.count("hit") / F.count("*")).alias("recall"))
+
+
 def neighbour_agreement(neighbours: DataFrame, vectors: DataFrame, key: str = "vec_id", label: str = "label") -> DataFrame:
     """Share of each query's neighbours that carry its label, and the entropy (bits) of their labels."""
     labels = vectors.select(F.col(key), F.col(label).alias("_l"))
@@ -118,11 +182,26 @@ def centroids(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFra
 
 
 def nearest_centroid(vectors: DataFrame, by: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The group whose centroid is nearest to each row; ties go to the smaller group. The few centroids travel as one array."""
+    """The group whose centroid is nearest to each row; ties go to the smaller group.
+
+    Centroids whose size is within the limit travel as one array; more of them are sent in blocks of that size, and each row keeps the best of all.
+    """
     means = centroids(vectors, by, vector).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("coordinate", "value"))), lambda s: s["value"]).alias("c"))
-    table = means.agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("g"), "c"))).alias("_m"))
+    means = cut(means)
+    size = means.agg(F.sum(F.size("c") * 8 + 64)).first()[0] or 0
+    blocks = max(1, -(-size // BROADCAST_LIMIT))
     best = F.array_min(F.transform("_m", lambda m: F.struct(distance(F.col(vector), m["c"]).alias("d"), m["g"].alias("g"))))
-    return vectors.crossJoin(F.broadcast(table)).select(key, best["g"].alias("nearest"), best["d"].alias("distance"))  # one row
+    parts = []
+    for k in range(blocks):
+        block = means if blocks == 1 else means.where(F.pmod(F.xxhash64(by), F.lit(blocks)) == k)
+        table = block.agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("g"), "c"))).alias("_m"))
+        parts.append(vectors.crossJoin(F.broadcast(table)).select(key, best.alias("_b")))  # one row of at most about BROADCAST_LIMIT bytes
+    if blocks == 1:
+        return parts[0].select(key, F.col("_b.g").alias("nearest"), F.col("_b.d").alias("distance"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(key).agg(F.min("_b").alias("_b")).select(key, F.col("_b.g").alias("nearest"), F.col("_b.d").alias("distance"))
 
 
 def summaries(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:

@@ -44,6 +44,9 @@ PROFILE = "file_id long, series string, file_date timestamp, fields string"
 EVENTS = "series string, chunk long, seq long, file_id long, kind string, change string, field string, previous_field string, type string"
 
 
+SCALARS = {str: "string", bool: "boolean", int: "number", float: "number"}
+
+
 def type_of(value) -> str | None:
     """string, number, boolean, object or array<...>; None for what tells no type. Arrays of any depth are walked without recursion."""
     if value is None:
@@ -99,6 +102,15 @@ def field_order(records: list[dict]) -> list[str]:
     return order
 
 
+def _mark(value) -> int:
+    """Hash of a value, the same for equal values of a type."""
+    if isinstance(value, str):
+        return zlib.crc32(value.encode("utf-8", "surrogatepass"))
+    if isinstance(value, (dict, list)):
+        return zlib.crc32(deep.dumps(value, sort_keys=True).encode())
+    return zlib.crc32(repr(value).encode())
+
+
 def profile(content: str | None) -> list[list] | None:
     """[name, type or None, share of nulls, sketch] of each field in order."""
     records = records_of(content)
@@ -107,8 +119,13 @@ def profile(content: str | None) -> list[list] | None:
     out = []
     for name in field_order(records):
         values = [r[name] for r in records if name in r]
-        types = sorted({t for t in map(type_of, values) if t})
-        hashes = sorted({zlib.crc32(deep.dumps(v, sort_keys=True).encode()) for v in values if v is not None})[:SKETCH]
+        kinds = {type(v) for v in values}
+        if not kinds & {dict, list}:  # plain values: their types and distinct values tell all
+            types = sorted({t for t in (SCALARS.get(k) for k in kinds) if t})
+            hashes = sorted({_mark(v) for v in set(values) if v is not None})[:SKETCH]
+        else:
+            types = sorted({t for t in map(type_of, values) if t})
+            hashes = sorted({_mark(v) for v in values if v is not None})[:SKETCH]
         out.append([name, "|".join(types) or None, sum(v is None for v in values) / len(values), hashes])
     return out
 
@@ -191,6 +208,8 @@ def _places(fields: list[list], stay: set[str]) -> dict[tuple, list[list]]:
 
 def compare(old: list[list], new: list[list]) -> tuple[list[tuple[str, str]], list[str], list[str]]:
     """Renames (old name, new name), added and removed names between two files."""
+    if [f[0] for f in old] == [f[0] for f in new]:
+        return [], [], []
     stay = {f[0] for f in old} & {f[0] for f in new}
     gone, came = _places(old, stay), _places(new, stay)
     renamed = []
@@ -201,18 +220,41 @@ def compare(old: list[list], new: list[list]) -> tuple[list[tuple[str, str]], li
     return renamed, [f[0] for f in new if f[0] not in stay | now], [f[0] for f in old if f[0] not in stay | was]
 
 
-def _chunk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Changes within a chunk, and what is needed to join it to the chunks before it.
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of files, sorted by series, chunk and place, one after the other."""
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+    types = [pa.int64() if n in ("chunk", "seq", "file_id") else pa.string() for n in names]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    key, files, out = None, [], []
+    for batch in batches:
+        for series, chunk, seq, file_id, fields in zip(*(batch.column(c).to_pylist() for c in ("series", "chunk", "seq", "file_id", "fields"))):
+            if key != (series, chunk):
+                if files:
+                    out += _chunk(*key, files)
+                key, files = (series, chunk), []
+            files.append((file_id, seq, fields))
+        if len(out) > 10_000:
+            yield batch_of(out)
+            out = []
+    if files:
+        out += _chunk(*key, files)
+    if out:
+        yield batch_of(out)
+
+
+def _chunk(series: str, chunk: int, files: list[tuple[int, int, str]]) -> list[tuple]:
+    """Changes within a chunk of files (id, place, fields), and what is needed to join it to the chunks before it.
 
     State of a field: [type told in this chunk, its name at the chunk's start (None if it was born here), its first name here].
     Rows `first`: the first type told for a field that was there at the start; rows `end`: the state after the last file.
     """
-    series, chunk = key[0], int(key[1])
-    pdf = pdf.drop_duplicates("file_id").sort_values("seq")
     out: list[tuple] = []
     state: dict[str, list] = {}
     before: list[list] | None = None
-    for file_id, seq, text in zip(pdf["file_id"].tolist(), pdf["seq"].tolist(), pdf["fields"].tolist()):
+    for file_id, seq, text in files:
         fields = json.loads(text)
         row = lambda kind, change, field, previous, type_=None: out.append((series, chunk, seq, file_id, kind, change, field, previous, type_))  # noqa: B023, E731
         if before is None and seq < chunk * CHUNK:  # the last file of the chunk before
@@ -242,9 +284,8 @@ def _chunk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             after[name] = [told, start, root]
         state, before = after, fields
         row("names", None, json.dumps({n: [s[1] is not None, s[2]] for n, s in state.items()}), None)
-    last = int(pdf["seq"].max()) if len(pdf) else 0
-    out += [(series, chunk, last, None, "end", root, name, start, told) for name, (told, start, root) in state.items()]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+    out += [(series, chunk, files[-1][1], None, "end", root, name, start, told) for name, (told, start, root) in state.items()]
+    return out
 
 
 def _carry(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -285,7 +326,9 @@ def history(files: DataFrame) -> DataFrame:
     numbered = known.select("file_id", "fields").join(_numbered(known), "file_id")
     chunk = F.floor(F.col("seq") / CHUNK)
     chunks = F.when(F.col("seq") % CHUNK == CHUNK - 1, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    rows = cut(numbered.select("file_id", "series", "seq", "fields", F.explode(chunks).alias("chunk")).groupBy("series", "chunk").applyInPandas(_chunk, EVENTS))
+    placed = numbered.select("file_id", "series", "seq", "fields", F.explode(chunks).alias("chunk"))
+    # Series are many and short as a rule, so a task walks all its chunks in one go.
+    rows = cut(placed.repartition("series", "chunk").sortWithinPartitions("series", "chunk", "seq").mapInArrow(_chunks, EVENTS))
     long = rows.where("chunk > 0").select("series").distinct()
     carried = rows.where("kind IN ('first', 'end')").join(long, "series", "left_semi").groupBy("series").applyInPandas(_carry, EVENTS)
     return rows.where("kind IN ('event', 'names')").unionByName(carried)

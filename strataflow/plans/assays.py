@@ -149,3 +149,11 @@ register("stream_counts", lambda s, d: stream.run_once(stream.parquet_stream(s,
     "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 register("stream_windows", lambda s, d: stream.run_once(stream.windowed(stream.parquet_stream(s, d, "events"), "ts", "event_type", "value", "6 hours"), "complete").select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total")),
     "SELECT to_timestamp(floor(epoch_us(ts) / 1e6 / 21600) * 21600)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+# Only windows that the watermark has closed come out in append mode: those that end an hour or more before the newest event.
+register("stream_closed_windows", lambda s, d: stream.run_once(stream.windowed(stream.parquet_stream(s, d, "events"), "ts", "event_type", "value", "6 hours"), "append").select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total")),
+    "SELECT to_timestamp(floor(epoch_us(ts) / 1e6 / 21600) * 21600)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+register("stream_file_checks", lambda s, d: stream.run_once(stream.file_checks(stream.parquet_stream(s, d, "events"), ["value"]), "complete").drop("file"),
+    "SELECT count(*) AS n, count(*) - count(value) AS value_missing, min(value) AS value_least, max(value) AS value_most FROM events")
+register("stream_records", lambda s, d: stream.run_once(stream.running_record(stream.parquet_stream(s, d, "events"), "event_type", "value"), "update").groupBy("event_type").agg(F.max("n").alias("n"), F.round(F.max_by("mean", "n"), 6).alias("mean"), F.round(F.max_by("variance", "n"), 4).alias("variance")),
+    "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance FROM events GROUP BY 1")
+register("landed_files", lambda s, d: stream.complete(stream.listing(s, d, "*.parquet"), stream.listing(s, d, "*.parquet")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes")))

@@ -219,6 +219,11 @@ def _nearest(s, d, k):
 
 
 register("knn_exact", lambda s, d: _round(_nearest(s, d, 10)), f"{_KNN} SELECT query, neighbour, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10")
+_approximate = lambda s, d: K.nearest_approximately(_vectors(s, d), _vectors(s, d).where(F.col("vec_id") % 100 == 0), 10)
+register("knn_approximate", lambda s, d: _round(_approximate(s, d)))
+register("knn_recall", lambda s, d: K.recall(_approximate(s, d), _nearest(s, d, 10)))
+register("shared_neighbours", lambda s, d: _round(K.shared_neighbour_graph(_nearest(s, d, 15))),
+    f"{_KNN}, k AS (SELECT * FROM r WHERE rank <= 15), e AS (SELECT a.query AS x, a.neighbour AS y FROM k a WHERE a.neighbour IN (SELECT query FROM k)), w AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM e), l AS (SELECT query, list(neighbour) AS near FROM k GROUP BY 1) SELECT w.a, w.b, round(len(list_intersect(p.near, q.near)) / len(list_distinct(p.near || q.near))::DOUBLE, 6) AS weight FROM w JOIN l p ON p.query = w.a JOIN l q ON q.query = w.b")
 register("knn_agreement", lambda s, d: _round(K.neighbour_agreement(_nearest(s, d, 15), _vectors(s, d))),
     f"{_KNN}, l AS (SELECT r.query, a.label AS own, b.label AS other, count(*) AS n FROM r JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = neighbour WHERE rank <= 15 GROUP BY ALL) SELECT query, round(sum(CASE WHEN own = other THEN n ELSE 0 END) / sum(n), 6) AS agreement, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM l GROUP BY 1")
 register("centroids", lambda s, d: _round(K.centroids(_vectors(s, d), "label")), "SELECT label, coordinate, round(avg(x), 6) AS value FROM (SELECT label, unnest(range(len(embedding)))::INT AS coordinate, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")

@@ -7,22 +7,43 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strataflow.common import checkpoint_folder
+from pyspark.sql.types import LongType, StructField, StructType
 
+from strataflow.common import checkpoint_folder, clean
 
-def parquet_stream(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None) -> DataFrame:
-    """The Parquet table `name` of a folder, read as a stream of its files."""
+
+def parquet_stream(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None, since: str | None = None) -> DataFrame:
+    """The Parquet table `name` of a folder, read as a stream of its files.
+
+    Files that were there before count too; with `since` (a timestamp) rows of files last changed before it are left out, so that only new ones are followed.
+    """
     path = f"{folder}/{name}.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema)
     if per_trigger:
         stream = stream.option("maxFilesPerTrigger", per_trigger)
-    if os.path.isfile(path):
-        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-    return stream.parquet(path)
+    rows = stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if os.path.isfile(path) else stream.parquet(path)
+    return rows.where(F.col("_metadata.file_modification_time") >= F.lit(since).cast("timestamp")) if since else rows
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """`path`, `length` and `modificationTime` of a folder's files; their content is not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
+
+
+def complete(before: DataFrame, after: DataFrame, end: Column | None = None) -> DataFrame:
+    """The files of the later listing that can be read: unchanged in size and time since the earlier one and, where `end` tells the place of their last byte, that long."""
+    same = after.join(before, ["path", "length", "modificationTime"], "left_semi").where("length > 0")
+    return same.where(F.col("length") > end) if end is not None else same
+
+
+def file_checks(stream: DataFrame, columns: list[str]) -> DataFrame:
+    """Per landed file: rows, and per column the rows without a finite number, its least and greatest value. Every file is checked by itself as it arrives."""
+    own = [x for c in columns for x in (F.count_if(clean(F.col(c)).isNull()).alias(f"{c}_missing"), F.min(clean(F.col(c))).alias(f"{c}_least"), F.max(clean(F.col(c))).alias(f"{c}_most"))]
+    return stream.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"), *own)
 
 
 def windowed(stream: DataFrame, ts: str, by: str, value: str, width: str, late: str = "1 hour") -> DataFrame:
@@ -40,11 +61,17 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out")  # complete mode: each batch holds the whole result
+    def keep(batch: DataFrame, number: int) -> None:
+        # A batch that is tried again writes its own folder again, so each counts exactly once.
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number:09d}")
 
     stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    out = spark.read.schema(schema).parquet(f"{at}/out")
+    if mode == "complete":  # each batch holds the whole result
+        last = out.agg(F.max("batch")).first()[0]
+        out = out.where(F.col("batch") == F.lit(last))
+    return out.drop("batch")
 
 
 def running_record(stream: DataFrame, by: str, value: str) -> DataFrame:

@@ -88,7 +88,7 @@ def test_chunks_compose_to_one_walk(seed, monkeypatch):
         parts = []
         for c in range((len(profiles) - 1) // size + 1):
             rows = [(k, k, profiles[k]) for k in range(max(0, c * size - 1), min(len(profiles), (c + 1) * size))]
-            parts.append(P._chunk(("s", c), pd.DataFrame(rows, columns=["file_id", "seq", "fields"])))
+            parts.append(pd.DataFrame(P._chunk("s", c, rows), columns=[x.split()[0] for x in P.EVENTS.split(", ")]))
         every = pd.concat(parts)
         carried = P._carry(("s",), every[every.kind.isin(["first", "end"])])
         return {(int(r.file_id), r.change, r.field, r.previous_field) for f in (every, carried) for r in f[f.kind == "event"].itertuples()}
