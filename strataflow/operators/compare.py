@@ -74,11 +74,11 @@ def two_sample(df: DataFrame, by: list[str], group: str, channel: str, a, b) ->
     t = own.groupBy(*by).agg(*[pick(c, g).alias(f"{c}{k}") for c in ("n", "m", "v") for k, g in (("1", a), ("2", b))])
     n1, n2, m1, m2, v1, v2 = (F.col(c) for c in ("n1", "n2", "m1", "m2", "v1", "v2"))
     e1, e2 = v1 / n1, v2 / n2
-    pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
+    pooled = F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
     return t.select(
         *by,
         ratio(m1 - m2, F.sqrt(e1 + e2)).alias("welch_t"),
-        ratio((e1 + e2) * (e1 + e2), e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)).alias("welch_df"),
+        ratio((e1 + e2) * (e1 + e2), F.try_divide(e1 * e1, n1 - 1) + F.try_divide(e2 * e2, n2 - 1)).alias("welch_df"),
         ratio(m1 - m2, F.sqrt(pooled * (1 / n1 + 1 / n2))).alias("student_t"),
         ratio(m1 - m2, F.sqrt(pooled)).alias("cohens_d"),
         ratio(m1, m2).alias("fold_change"),
@@ -90,18 +90,18 @@ def paired(df: DataFrame, pair: str, group: str, channel: str, a, b) -> DataFram
     x = clean(F.col(channel))
     pairs = df.groupBy(pair).agg(F.avg(F.when(F.col(group) == a, x)).alias("a"), F.avg(F.when(F.col(group) == b, x)).alias("b"))
     d = F.col("a") - F.col("b")
-    return pairs.where(d.isNotNull()).agg(F.count("*").alias("pairs"), ratio(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("paired_t"))
+    return pairs.where(d.isNotNull()).agg(F.count("*").alias("pairs"), ratio(F.avg(d), F.try_divide(F.stddev_samp(d), F.sqrt(F.count("*")))).alias("paired_t"))
 
 
 def anova(df: DataFrame, by: list[str], group: str, channel: str) -> DataFrame:
     """One-way F with its degrees of freedom, from the groups' moments."""
     own = moments(df, by, group, channel)
-    whole = own.groupBy(*by).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.sum("n").alias("total"), F.count("*").alias("k"))
+    whole = own.groupBy(*by).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_grand"), F.sum("n").alias("_total"), F.count("*").alias("_k"))
     joined = join_groups(own, whole, by)
-    between = F.sum(F.col("n") * (F.col("m") - F.col("grand")) * (F.col("m") - F.col("grand")))
+    between = F.sum(F.col("n") * (F.col("m") - F.col("_grand")) * (F.col("m") - F.col("_grand")))
     within = F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0)))
-    return joined.groupBy(*by).agg(between.alias("b"), within.alias("w"), F.max("k").alias("k"), F.max("total").alias("n")).select(
-        *by, (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"), ratio(F.col("b") / (F.col("k") - 1), F.col("w") / (F.col("n") - F.col("k"))).alias("f")
+    return joined.groupBy(*by).agg(between.alias("_b"), within.alias("_w"), F.max("_k").alias("_k"), F.max("_total").alias("_n")).select(
+        *by, (F.col("_k") - 1).alias("df_between"), (F.col("_n") - F.col("_k")).alias("df_within"), ratio(F.try_divide(F.col("_b"), F.col("_k") - 1), F.try_divide(F.col("_w"), F.col("_n") - F.col("_k"))).alias("f")
     )
 
 
@@ -111,24 +111,24 @@ def welch_anova(df: DataFrame, group: str, channel: str) -> DataFrame:
     whole = own.agg(F.sum("w").alias("sw"), (F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("grand"), F.count("*").alias("k"))
     rows = own.crossJoin(F.broadcast(whole))  # one row
     k = F.max("k")
-    lack = F.sum((1 - F.col("w") / F.col("sw")) * (1 - F.col("w") / F.col("sw")) / (F.col("n") - 1))
-    between = F.sum(F.col("w") * (F.col("m") - F.col("grand")) * (F.col("m") - F.col("grand"))) / (k - 1)
-    return rows.agg((between / (1 + 2 * (k - 2) / (k * k - 1) * lack)).alias("f"), (k - 1).alias("df_between"), ((k * k - 1) / (3 * lack)).alias("df_within"))
+    lack = F.sum(F.try_divide((1 - F.col("w") / F.col("sw")) * (1 - F.col("w") / F.col("sw")), F.col("n") - 1))
+    between = F.try_divide(F.sum(F.col("w") * (F.col("m") - F.col("grand")) * (F.col("m") - F.col("grand"))), k - 1)
+    return rows.agg(F.try_divide(between, 1 + F.try_divide(2 * (k - 2), k * k - 1) * lack).alias("f"), (k - 1).alias("df_between"), F.try_divide(k * k - 1, 3 * lack).alias("df_within"))
 
 
 def mann_whitney(df: DataFrame, by: list[str], group: str, channel: str, a, b) -> DataFrame:
     """U of group `a` and its normal score with tie correction and continuity."""
     ranks = ordered.average_ranks(df.where(F.col(group).isin(a, b)), by, channel, group)
     own = ranks.groupBy(*by).agg(
-        F.sum(F.when(F.col(group) == a, F.col("rank") * F.col("n")).otherwise(0.0)).alias("r"),
-        F.sum(F.when(F.col(group) == a, F.col("n")).otherwise(0)).alias("m"),
-        F.sum(F.when(F.col(group) == b, F.col("n")).otherwise(0)).alias("k"),
-        F.sum((F.col("ties").cast("double") * F.col("ties") - 1) * F.col("n")).alias("tie"),
+        F.sum(F.when(F.col(group) == a, F.col("rank") * F.col("n")).otherwise(0.0)).alias("_r"),
+        F.sum(F.when(F.col(group) == a, F.col("n")).otherwise(0)).alias("_m"),
+        F.sum(F.when(F.col(group) == b, F.col("n")).otherwise(0)).alias("_k"),
+        F.sum((F.col("ties").cast("double") * F.col("ties") - 1) * F.col("n")).alias("_tie"),
     )
-    m, k = F.col("m").cast("double"), F.col("k").cast("double")
-    u = F.col("r") - m * (m + 1) / 2
+    m, k = F.col("_m").cast("double"), F.col("_k").cast("double")
+    u = F.col("_r") - m * (m + 1) / 2
     off = u - m * k / 2
-    spread = F.sqrt(m * k / 12 * (m + k + 1 - F.col("tie") / ((m + k) * (m + k - 1))))
+    spread = F.sqrt(m * k / 12 * (m + k + 1 - F.try_divide(F.col("_tie"), (m + k) * (m + k - 1))))
     return own.select(*by, u.alias("u"), ratio(off - F.signum(off) * 0.5, spread).alias("z"))
 
 
@@ -137,8 +137,8 @@ def kruskal(df: DataFrame, group: str, channel: str) -> DataFrame:
     ranks = ordered.average_ranks(df, [], channel, group)
     own = ranks.groupBy(group).agg(F.sum(F.col("rank") * F.col("n")).alias("r"), F.sum("n").alias("n"), F.sum((F.col("ties").cast("double") * F.col("ties") - 1) * F.col("n")).alias("tie"))
     n = F.sum("n").cast("double")
-    h = 12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)
-    return own.agg((h / (1 - F.sum("tie") / (n * n * n - n))).alias("h"), (F.count("*") - 1).alias("df"))
+    h = F.try_divide(F.lit(12.0), n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)
+    return own.agg(F.try_divide(h, 1 - F.try_divide(F.sum("tie"), n * n * n - n)).alias("h"), (F.count("*") - 1).alias("df"))
 
 
 def correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -215,7 +215,7 @@ def friedman(df: DataFrame, block: str, group: str, channel: str, levels: list)
     ranked = means.withColumns({"k": F.count("*").over(inside), "rank": F.rank().over(inside.orderBy("m")) + (ties - 1) / 2}).where(F.col("k") == len(levels))
     sums = ranked.groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("n"))
     k = len(levels)
-    return sums.agg((12 / (F.max("n") * k * (k + 1)) * F.sum(F.col("r") * F.col("r")) - 3 * F.max("n") * (k + 1)).alias("chi2"), F.lit(k - 1).alias("df"))
+    return sums.agg((F.try_divide(F.lit(12.0), F.max("n") * k * (k + 1)) * F.sum(F.col("r") * F.col("r")) - 3 * F.max("n") * (k + 1)).alias("chi2"), F.lit(k - 1).alias("df"))
 
 
 def regression(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -26,7 +26,7 @@ EXACT = 50
 def one_sample(df: DataFrame, by: list[str], channel: str, mean: float = 0.0) -> DataFrame:
     """t of each group's mean against `mean`, its degrees of freedom and standard error."""
     x = clean(F.col(channel))
-    own = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("se"))
+    own = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.try_divide(F.stddev_samp(x), F.sqrt(F.count(x))).alias("se"))
     return own.select(*by, "mean", "se", ratio(F.col("mean") - mean, F.col("se")).alias("t"), (F.col("n") - 1).alias("df"))
 
 
@@ -107,7 +107,7 @@ def level_pairs(df: DataFrame, group: str, channel: str) -> DataFrame:
     b = own.select(F.col(group).alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", "m", "v")])
     rows = a.join(b, F.col("a") < F.col("b"))
     e1, e2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
-    return rows.select("a", "b", (F.col("m1") - F.col("m2")).alias("difference"), ratio(F.col("m1") - F.col("m2"), F.sqrt(e1 + e2)).alias("t"), ratio((e1 + e2) * (e1 + e2), e1 * e1 / (F.col("n1") - 1) + e2 * e2 / (F.col("n2") - 1)).alias("df"))
+    return rows.select("a", "b", (F.col("m1") - F.col("m2")).alias("difference"), ratio(F.col("m1") - F.col("m2"), F.sqrt(e1 + e2)).alias("t"), ratio((e1 + e2) * (e1 + e2), F.try_divide(e1 * e1, F.col("n1") - 1) + F.try_divide(e2 * e2, F.col("n2") - 1)).alias("df"))
 
 
 def post_hoc(df: DataFrame, group: str, channel: str) -> DataFrame:
@@ -153,7 +153,7 @@ def block_anova(df: DataFrame, block: str, group: str, channel: str, levels: lis
     between = n * sum(((F.col(f"m{i}") - grand) * (F.col(f"m{i}") - grand) for i in range(k)), F.lit(0.0))
     total = n * sum((F.col(f"v{i}") + (F.col(f"m{i}") - grand) * (F.col(f"m{i}") - grand) for i in range(k)), F.lit(0.0))
     error = total - between - k * n * F.col("rows")
-    return sums.select(ratio(between / (k - 1), error / ((k - 1) * (n - 1))).alias("f"), F.lit(k - 1).alias("df"), ((k - 1) * (n - 1)).alias("df_error"))
+    return sums.select(ratio(between / (k - 1), F.try_divide(error, (k - 1) * (n - 1))).alias("f"), F.lit(k - 1).alias("df"), ((k - 1) * (n - 1)).alias("df_error"))
 
 
 def design_matrix(df: DataFrame, factors: dict[str, list], numbers: list[str] = ()) -> DataFrame:

@@ -73,7 +73,7 @@ def mode(df: DataFrame, by: list[str], channel: str, bins: int = 256) -> DataFra
     """Centre of the fullest of `bins` bins between the 0.5th and 99.5th percentile; the lowest wins ties."""
     x = clean(F.col(channel))
     ends = cut(ordered.quantiles(df, by, {"x": x}, [0.005, 0.995]).select(*by, F.col("q_x")[0].alias("low"), F.col("q_x")[1].alias("high")))  # a row per group
-    at = F.floor((x - F.col("low")) / (F.col("high") - F.col("low")) * bins)
+    at = F.floor(F.try_divide(x - F.col("low"), F.col("high") - F.col("low")) * bins)
     counted = (
         join_groups(df, ends, by)
         .where(x.between(F.col("low"), F.col("high")) & (F.col("high") > F.col("low")))
@@ -103,7 +103,7 @@ def detection_limits(df: DataFrame, level: str, value: str, blank: Column) -> Da
     x = clean(F.col(value))
     blanks = df.where(blank).agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
     low = df.where(~blank).groupBy(level).agg(F.count(x).alias("n"), F.var_samp(x).alias("v")).where("n > 1")
-    pooled = low.agg(F.sqrt(F.sum((F.col("n") - 1) * F.col("v")) / F.sum(F.col("n") - 1)).alias("pooled"))
+    pooled = low.agg(F.sqrt(F.try_divide(F.sum((F.col("n") - 1) * F.col("v")), F.sum(F.col("n") - 1))).alias("pooled"))
     lob = F.col("m") + 1.645 * F.col("s")
     return blanks.join(pooled).select(lob.alias("lob"), (lob + 1.645 * F.col("pooled")).alias("lod"))
 

@@ -85,7 +85,7 @@ def drift(df: DataFrame, by: list[str], ts: str, channels: list[str], parts: int
     """Median of each channel in `parts` equal time parts of each group."""
     at = seconds(ts)
     ends = df.where(F.col(ts).isNotNull()).groupBy(*by).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
-    part = F.least(F.lit(parts - 1), F.floor((at - F.col("_a")) / (F.col("_b") - F.col("_a")) * parts)).cast("int")
+    part = F.least(F.lit(parts - 1), F.floor(F.try_divide(at - F.col("_a"), F.col("_b") - F.col("_a")) * parts)).cast("int")
     rows = join_groups(df.where(F.col(ts).isNotNull()), ends, by).where("_b > _a")
     wide = ordered.quantiles(rows.withColumn("part", part), [*by, "part"], {c: clean(F.col(c)) for c in channels}, [0.5])
     return wide.select(*by, "part", F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"q_{c}")[0].alias("median")) for c in channels])))
