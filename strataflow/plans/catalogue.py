@@ -127,8 +127,14 @@ def _concatenated(s, d):
 register("concatenated", _concatenated, "SELECT l_returnflag AS sample_id, count(*) AS n, sum(l_quantity) AS total, max(l_orderkey) AS last FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1")
 register("count_differences", lambda s, d: J.count_differences(*[_items(s, d, "l_suppkey", "l_linestatus").where(F.col("l_linestatus") == x).groupBy("l_suppkey").count() for x in "FO"], ["l_suppkey"], "count"),
     "SELECT l_suppkey, count(*) FILTER (WHERE l_linestatus = 'F') AS before, count(*) FILTER (WHERE l_linestatus = 'O') AS after, count(*) FILTER (WHERE l_linestatus = 'O') - count(*) FILTER (WHERE l_linestatus = 'F') AS difference FROM lineitem GROUP BY 1")
-_RULES = {"heavy": {"a": F.col("quantity") >= 25.5, "b": F.col("price") >= 38000}, "light": {"a": F.col("quantity") < 25.5, "b": F.col("price") < 38000}, "taxed": {"a": F.col("tax") >= 0.04}}
-register("ranked_rules", lambda s, d: _round(D.ranked_rules(_items(s, d, "l_suppkey", "l_quantity", "l_extendedprice", "l_tax").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("quantity"), F.avg("l_extendedprice").alias("price"), F.avg("l_tax").alias("tax")), "l_suppkey", _RULES)),
+
+
+def _rules():
+    return {"heavy": {"a": F.col("quantity") >= 25.5, "b": F.col("price") >= 38000}, "light": {"a": F.col("quantity") < 25.5, "b": F.col("price") < 38000}, "taxed": {"a": F.col("tax") >= 0.04}}
+
+
+
+register("ranked_rules", lambda s, d: _round(D.ranked_rules(_items(s, d, "l_suppkey", "l_quantity", "l_extendedprice", "l_tax").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("quantity"), F.avg("l_extendedprice").alias("price"), F.avg("l_tax").alias("tax")), "l_suppkey", _rules())),
     "WITH m AS (SELECT l_suppkey, avg(l_quantity) AS q, avg(l_extendedprice) AS p, avg(l_tax) AS t FROM lineitem GROUP BY 1), r AS (SELECT l_suppkey, 'heavy' AS rule, ((q >= 25.5)::INT + (p >= 38000)::INT) / 2.0::DOUBLE AS score FROM m UNION ALL SELECT l_suppkey, 'light', ((q < 25.5)::INT + (p < 38000)::INT) / 2.0::DOUBLE FROM m UNION ALL SELECT l_suppkey, 'taxed', (t >= 0.04)::INT::DOUBLE FROM m) SELECT l_suppkey, rule, round(score, 6) AS score FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, rule) = 1")
 register("sampled_share", lambda s, d: A.sampled_share(_items(s, d, "l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"], 0.1).groupBy("l_returnflag").count())
 
@@ -141,7 +147,13 @@ def _readings(s, d):
     return J.with_dimension(q, table(s, d, "detectors", "model", "channel", "range_min", "range_max"), ["model", "channel"])
 
 
-_CHECKS = {"missing": F.col("value").isNull(), "margin": (F.col("value") <= F.col("range_min")) | (F.col("value") >= F.col("range_max")), "sparse": F.col("event_count") < 100}
+
+
+def _checks():
+    return {"missing": F.col("value").isNull(), "margin": (F.col("value") <= F.col("range_min")) | (F.col("value") >= F.col("range_max")), "sparse": F.col("event_count") < 100}
+
+
+_CHECKS = ("missing", "margin", "sparse")
 _CHECKS_SQL = {"missing": "(value IS NULL)", "margin": "coalesce(value <= range_min OR value >= range_max, false)", "sparse": "coalesce(event_count < 100, false)"}
 _SUM = " + ".join(f"{c}::INT" for c in _CHECKS_SQL.values())
 _SUMMARY = (
@@ -150,8 +162,8 @@ _SUMMARY = (
     + f", 100.0 * count(*) FILTER (WHERE {_SUM} > 0) / count(*) AS flagged, 100 - 100.0 * count(*) FILTER (WHERE {_SUM} > 0) / count(*) AS score FROM {_Q} q JOIN detectors t ON q.model = t.model AND q.channel = t.channel GROUP BY 1"
 )
 _rounded = ", ".join(f"round({c}, 6) AS {c}" for c in [f"{k}_{x}" for k in _CHECKS for x in ("percent", "only")] + ["flagged", "score"])
-register("qc_summary", lambda s, d: _round(Q.summary(_readings(s, d), ["instrument_id"], _CHECKS)), f"SELECT instrument_id, n, {_rounded} FROM ({_SUMMARY})")
-register("qc_findings", lambda s, d: _round(Q.findings(Q.summary(_readings(s, d), ["instrument_id"], _CHECKS), ["instrument_id"], list(_CHECKS), 0.5)),
+register("qc_summary", lambda s, d: _round(Q.summary(_readings(s, d), ["instrument_id"], _checks())), f"SELECT instrument_id, n, {_rounded} FROM ({_SUMMARY})")
+register("qc_findings", lambda s, d: _round(Q.findings(Q.summary(_readings(s, d), ["instrument_id"], _checks()), ["instrument_id"], list(_CHECKS), 0.5)),
     "WITH s AS (" + _SUMMARY + "), l AS (" + " UNION ALL ".join(f"SELECT instrument_id, '{k}' AS \"check\", {k}_percent AS percent FROM s" for k in _CHECKS) + ') SELECT instrument_id, "check", round(percent, 6) AS percent, CAST(row_number() OVER (PARTITION BY instrument_id ORDER BY percent DESC, "check") AS INT) AS rank FROM l WHERE percent > 0.5')
 _BIN = "WITH b AS (SELECT event_type, CAST(floor(epoch_us(ts) / 1e6 / 21600) AS BIGINT) AS bin, CASE WHEN count(value) >= 10 THEN quantile_cont(value, 0.5) END AS v FROM events GROUP BY 1, 2), m AS (SELECT event_type, median(v) AS m, 1.4826 * mad(v) AS s FROM b GROUP BY 1), o AS (SELECT b.event_type, bin, v, coalesce(abs(v - m) > 2 * s, false) AS outlier FROM b JOIN m USING (event_type))"
 _outliers = lambda s, d: Q.bin_outliers(T.bins(table(s, d, "events", "event_type", "ts", "value"), ["event_type"], "ts", "value", 21600.0), ["event_type"], "median", 2.0)
