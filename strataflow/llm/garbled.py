@@ -203,6 +203,17 @@ class Mender:
         padded, known = f" {text} ", self.known
         return sum([known[padded[i : i + 2]] for i in range(len(padded) - 1)])
 
+    def above(self, text: str, least: float) -> float | None:
+        """The score if it is above `least`. No pair adds to it, so the rest need not be read once it falls below."""
+        before, known, total = " ", self.known, 0.0
+        for c in text:
+            total += known[before + c]
+            if total <= least:
+                return None
+            before = c
+        total += known[before + " "]
+        return total if total > least else None
+
     def improbable(self, text: str) -> list[float]:
         """How far the mutual information of each adjacent pair (with a space at either end) lies below INFORMATION."""
         padded, information = f" {text} ", self.information
@@ -279,11 +290,12 @@ class Mender:
                         tried.add(back)
                         step = [*path, (wrong, original)]
                         mended = head + back + tail
-                        gain = self.score(mended) - base
+                        score = self.above(mended, base)
+                        gain = 0.0 if score is None else score - base
                         # A second mapping has more to undo after UTF-8, or where the first already made the text more probable.
                         if depth == 1 and not back.isascii() and (original == "utf-8" or gain > 0):
                             after.append((back, step))
-                        if _LEFT_BEHIND(back):
+                        if not gain or _LEFT_BEHIND(back):
                             continue
                         need = GAIN_STRICT if original in MULTIBYTE else GAIN if _LETTER(word) and _LETTER(mended) else GAIN_SYMBOL
                         if gain > need and gain > best + (GAIN_SECOND if found and len(step) > len(found[1]) and {o for _, o in step} != {"utf-8"} else 0.0):
