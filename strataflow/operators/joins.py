@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.common import bounded
+from strataflow.common import bounded, join_groups
+from strataflow.operators import ordered
 
 
 def with_dimension(events: DataFrame, dimension: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -14,21 +15,20 @@ def with_dimension(events: DataFrame, dimension: DataFrame, on: list[str], how:
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
-    """Each left row with the latest right `value` at or before its time (null without one).
+    """Each left row with the latest right `value` at or before its time (null without one, and for null times).
 
-    Both sides are walked per group and day; what a day begins with is carried over from the last day that
-    has a value, so no group is ordered in one task.
+    Both sides are walked per group and bucket of times; buckets follow the number of rows. What a bucket begins
+    with is carried over from the last one that has a value, so no group is ordered in one task.
     """
     tag = left.columns
-    rows = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_left": F.lit(True)}).unionByName(
-        right.select(*by, F.col(at), F.col(value).alias("_v"), F.lit(False).alias("_left")), allowMissingColumns=True
-    )
-    rows = rows.withColumn("_day", F.to_date(at))
-    inside = Window.partitionBy(*by, "_day").orderBy(F.col(at), F.col("_left").cast("int")).rowsBetween(Window.unboundedPreceding, 0)
-    days = rows.groupBy(*by, "_day").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(at))).alias("_end"))
-    before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select(*by, "_day", F.last("_end", ignorenulls=True).over(before).alias("_before"))
-    out = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(inside)).where("_left").join(carried, [*by, "_day"])
+    known = right.where(F.col(at).isNotNull()).select(*by, F.col(at), F.col(value).alias("_v"), F.lit(False).alias("_left"))
+    rows = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_left": F.lit(True)}).unionByName(known, allowMissingColumns=True)
+    rows = ordered.bucketed(rows.withColumn("_at", F.unix_micros(F.col(at).cast("timestamp"))), by, "_at").withColumnRenamed("bucket", "_slice")
+    inside = Window.partitionBy(*by, "_slice").orderBy(F.col(at), F.col("_left").cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(*by, "_slice").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(at))).alias("_end"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    out = join_groups(rows.withColumn("_in", F.last("_v", ignorenulls=True).over(inside)).where("_left"), carried, [*by, "_slice"])
     return out.select(*tag, F.coalesce("_in", "_before").alias(value))
 
 

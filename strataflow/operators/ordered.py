@@ -47,7 +47,8 @@ def bucketed(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     out = out.withColumn("_coarse", _place(x, lambda k: F.col("_edges")[(k + 1) * STEP], 0, STEP - 1))
     out = out.withColumn("_fine", F.col("_coarse") * STEP + _place(x, lambda k: F.col("_edges")[F.col("_coarse") * STEP + k + 1], 0, STEP - 1))
     part = F.when(F.col("_parts") > 1, _part(x, F.col("_edges")[F.col("_fine")], F.col("_edges")[F.col("_fine") + 1], F.col("_parts"))).otherwise(0)
-    return out.withColumn("bucket", F.col("_fine") * F.col("_parts") + part).drop("_edges", "_parts", "_coarse", "_fine")
+    bucket = F.when(x.isNull(), -1).otherwise(F.col("_fine") * F.col("_parts") + part)  # nulls lie before all values
+    return out.withColumn("bucket", bucket).drop("_edges", "_parts", "_coarse", "_fine")
 
 
 def cumulative(counted: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
@@ -87,13 +88,13 @@ def steps(df: DataFrame, by: list[str], value: str, control: Column, test: Colum
     return join_groups(rows, sizes, by).select(*by, value, "next_value", (F.col("cum_kc") / F.col("nc")).alias("c"), (F.col("cum_kt") / F.col("nt")).alias("t"), "nc", "nt")
 
 
-def gaps(df: DataFrame, by: list[str], at: str, seconds: int = 86400) -> DataFrame:
-    """Each distinct time (seconds) of a group with the one before it: `start`, `end`, `gap`. Days are walked apart and joined by their ends."""
-    times = df.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("end")).distinct().withColumn("day", F.floor(F.col("end") / seconds))
-    days = times.groupBy(*by, "day").agg(F.max("end").alias("_last"))
-    before = days.select(*by, "day", F.lag("_last").over(Window.partitionBy(*by).orderBy("day")).alias("_before"))
-    inside = F.lag("end").over(Window.partitionBy(*by, "day").orderBy("end"))
-    rows = join_groups(times, before, [*by, "day"]).select(*by, F.coalesce(inside, F.col("_before")).alias("start"), "end")
+def gaps(df: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Each distinct time (seconds) of a group with the one before it: `start`, `end`, `gap`. Buckets of times are walked apart and joined by their ends."""
+    times = bucketed(df.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("end")).distinct(), by, "end")
+    lasts = times.groupBy(*by, "bucket").agg(F.max("end").alias("_last"))
+    before = lasts.select(*by, "bucket", F.lag("_last").over(Window.partitionBy(*by).orderBy("bucket")).alias("_before"))
+    inside = F.lag("end").over(Window.partitionBy(*by, "bucket").orderBy("end"))
+    rows = join_groups(times, before, [*by, "bucket"]).select(*by, F.coalesce(inside, F.col("_before")).alias("start"), "end")
     return rows.where("start IS NOT NULL").withColumn("gap", F.col("end") - F.col("start"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from strataflow.common import clean, cut, join_groups
-from strataflow.operators import ordered
+from strataflow.operators import joins, ordered
 from strataflow.operators.statistics import ratio
 
 
@@ -109,7 +109,7 @@ def rates(df: DataFrame, by: list[str], ts: str, width: float) -> DataFrame:
 
 
 def overlapping_bins(df: DataFrame, by: list[str], order: list[str], value: str, size: int) -> DataFrame:
-    """Half-overlapping bins of `size` consecutive rows per group: count and median. Rows are numbered by day first, so no window holds a group."""
+    """Half-overlapping bins of `size` consecutive rows per group: count and median. Rows are numbered by buckets of times first, so no window holds a group."""
     half = size // 2
     numbered = numbered_rows(df, by, order)
     at = F.floor(F.col("row") / half)
@@ -118,13 +118,14 @@ def overlapping_bins(df: DataFrame, by: list[str], order: list[str], value: str,
 
 
 def numbered_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """`row` from 0 in the order of `order` (its first column a time) inside each group."""
-    days = df.withColumn("_day", F.to_date(order[0]))
-    counts = days.groupBy(*by, "_day").count()
-    before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_day", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*by, "_day").orderBy(*order)
-    return join_groups(days.withColumn("_n", F.row_number().over(inside)), offsets, [*by, "_day"]).withColumn("row", F.col("_offset") + F.col("_n") - 1).drop("_day", "_n", "_offset")
+    """`row` from 0 in the order of `order` (its first column a time, null first) inside each group. Buckets of times are numbered apart, so no window holds a group."""
+    parts = ordered.bucketed(df.withColumn("_at", seconds(order[0])), by, "_at").withColumnRenamed("bucket", "_slice")
+    counts = parts.groupBy(*by, "_slice").agg(F.count("*").alias("_count"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_slice", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(*order)
+    numbered = join_groups(parts.withColumn("_n", F.row_number().over(inside)), offsets, [*by, "_slice"])
+    return numbered.withColumn("row", F.col("_offset") + F.col("_n") - 1).drop("_at", "_slice", "_n", "_offset")
 
 
 def control_rules(runs: DataFrame, by: list[str], order: str, value: str, baseline: int = 20) -> DataFrame:
@@ -240,12 +241,13 @@ def fold_change(parts: DataFrame, by: list[str], last: int = 19) -> DataFrame:
 def corrected(df: DataFrame, by: list[str], ts: str, value: str, knots: DataFrame, knot_ts: str, factor: str) -> DataFrame:
     """Each row's value times a factor interpolated in time between the knots around it, clamped at both ends.
 
-    The knots of a group are a short sorted array, so rows need no ordering: an as-of join both ways by array search.
+    Every knot knows the one after it, so one as-of join finds both knots of a row; rows before the first knot take that one's factor.
     """
-    own = knots.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(seconds(knot_ts).alias("t"), F.col(factor).cast("double").alias("f")))).alias("_k"))
-    at = seconds(ts)
-    rows = df.join(own, by).withColumn("_at", at)
-    rows = rows.withColumn("_p", F.try_element_at(F.filter("_k", lambda k: k["t"] <= F.col("_at")), F.lit(-1))).withColumn("_n", F.get(F.filter("_k", lambda k: k["t"] > F.col("_at")), 0))
-    share = (F.col("_at") - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
-    f = F.when(F.col("_p").isNull(), F.col("_n.f")).when(F.col("_n").isNull(), F.col("_p.f")).otherwise(F.col("_p.f") + share * (F.col("_n.f") - F.col("_p.f")))
-    return rows.withColumn("factor", f).withColumn("corrected", F.col(value) * f).drop("_k", "_at", "_p", "_n")
+    at, f = seconds(knot_ts), F.col(factor).cast("double")
+    order = Window.partitionBy(*by).orderBy(knot_ts)  # one row per knot
+    own = knots.where(F.col(knot_ts).isNotNull()).select(*by, F.col(knot_ts).alias(ts), F.struct(at.alias("t"), f.alias("f"), F.lead(at).over(order).alias("t2"), F.lead(f).over(order).alias("f2")).alias("_k"))
+    first = own.groupBy(*by).agg(F.min_by("_k", ts).alias("_first"))
+    rows = join_groups(joins.as_of(df, own, by, ts, "_k"), first, by, "inner")
+    share = F.try_divide(seconds(ts) - F.col("_k.t"), F.col("_k.t2") - F.col("_k.t"))
+    found = F.when(F.col("_k").isNull(), F.col("_first.f")).when(F.col("_k.t2").isNull(), F.col("_k.f")).otherwise(F.col("_k.f") + share * (F.col("_k.f2") - F.col("_k.f")))
+    return rows.withColumn("factor", found).withColumn("corrected", F.col(value) * found).drop("_k", "_first")
