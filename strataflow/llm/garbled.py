@@ -193,6 +193,7 @@ class Mender:
         self.known = _Pairs(lambda pair, a, b: math.log(self.pairs[pair] + 0.05) - math.log(self.chars[a] + 0.2 * kinds))
         self.information = _Pairs(self._information)
         self.word = functools.lru_cache(maxsize=200_000)(self._word)
+        self.inverses = functools.lru_cache(maxsize=50_000)(self._inverses)
 
     def _information(self, pair: int, a: int, b: int) -> float:
         share = lambda c: float(self.chars[c]) / self.total + CHAR_SHARE
@@ -254,8 +255,9 @@ class Mender:
             b += 1
         return a, b
 
-    def inverses(self, piece: str):
-        """(wrong decoder, original encoding, text) of each inverse mapping that exists."""
+    def _inverses(self, piece: str) -> list[tuple[str, str, str]]:
+        """(wrong decoder, original encoding, text) of each inverse mapping that exists. Many words share a run, so they are kept."""
+        found = []
         for wrong, encode in self.encoders:
             try:
                 raw = encode(piece)
@@ -268,7 +270,8 @@ class Mender:
                     except UnicodeDecodeError:
                         continue
                     if back != piece:
-                        yield wrong, original, back
+                        found.append((wrong, original, back))
+        return found
 
     def _word(self, word: str) -> tuple[str, list[tuple[str, str]]] | None:
         """The original of a garbled word and the mappings that lead to it, None for any other."""
