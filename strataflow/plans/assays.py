@@ -70,11 +70,11 @@ register("proliferation", lambda s, d: _round(A.proliferation(_items(s, d, "l_re
 
 def _codes(s, d):
     v = table(s, d, "embeddings", "vec_id", "embedding")
-    return A.codes(v, [F.col("embedding")[k].cast("double") for k in range(6)], 3, [str(k + 1) for k in range(6)])
+    return A.codes(v, [F.col("embedding")[k].cast("double") for k in range(64)], 3, [str(k + 1) for k in range(64)])
 
 
 register("codes", lambda s, d: _round(_codes(s, d).select("vec_id", "code", "separation")),
-    "WITH x AS (SELECT vec_id, unnest(range(1, 7)) AS i, unnest(embedding[1:6])::DOUBLE AS v FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM x) SELECT vec_id, string_agg(i::VARCHAR, '+' ORDER BY i) FILTER (WHERE k <= 3) AS code, round(max(v) FILTER (WHERE k = 3) - max(v) FILTER (WHERE k = 4), 6) AS separation FROM r GROUP BY 1")
+    "WITH x AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM x) SELECT vec_id, string_agg(i::VARCHAR, '+' ORDER BY i) FILTER (WHERE k <= 3) AS code, round(max(v) FILTER (WHERE k = 3) - max(v) FILTER (WHERE k = 4), 6) AS separation FROM r GROUP BY 1")
 register("quantile_normalised", lambda s, d: _round(A.quantile_normalised(_items(s, d, "l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice").groupBy("l_returnflag").agg(F.avg("normalised").alias("mean"), F.min("normalised").alias("least"), F.max("normalised").alias("most")), 4),
     """WITH k AS (SELECT l_returnflag, unnest(range(1, 32)) AS k, unnest(quantile_cont(l_extendedprice, [x / 32.0 FOR x IN range(1, 32)])) AS q FROM lineitem GROUP BY 1), g AS (SELECT k, avg(q) AS g FROM k GROUP BY 1),
 b AS (SELECT l_returnflag, k, q, g, lead(q) OVER w AS q2, lead(g) OVER w AS g2, lag(q) OVER w AS q0 FROM k JOIN g USING (k) WINDOW w AS (PARTITION BY l_returnflag ORDER BY k)),

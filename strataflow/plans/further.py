@@ -43,18 +43,17 @@ register("table_wide", lambda s, d: _round(_wide(s, d)),
 
 
 def _status(s, d):
-    """Each supplier's mean against the limits of blank and detection."""
-    items = _items(s, d, "l_suppkey", "l_linestatus", "l_returnflag", "l_extendedprice")
-    limits = S.detection_limits(items, "l_linestatus", "l_extendedprice", F.col("l_returnflag") == "N").select((F.col("lob") / 3).alias("lob"), (F.col("lod") / 5).alias("lod"))
-    means = items.groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("m"))
-    kind = F.when(F.col("m") <= F.col("lob"), "not detected").when(F.col("m") < F.col("lod") * 2, "detected").otherwise("quantifiable")
-    return means.crossJoin(F.broadcast(limits)).groupBy(kind.alias("status")).count()  # one row of limits
+    """Each reading against the limits of blank and detection."""
+    items = _items(s, d, "l_linestatus", "l_returnflag", "l_extendedprice")
+    limits = S.detection_limits(items, "l_linestatus", "l_extendedprice", F.col("l_returnflag") == "N")
+    kind = F.when(F.col("l_extendedprice") <= F.col("lob"), "not detected").when(F.col("l_extendedprice") < F.col("lod"), "detected").otherwise("quantifiable")
+    return items.crossJoin(F.broadcast(limits)).groupBy("l_returnflag", kind.alias("status")).count()  # one row of limits
 
 
 register("limit_status", _status,
     """WITH b AS (SELECT avg(l_extendedprice) + 1.645 * stddev_samp(l_extendedprice) AS lob FROM lineitem WHERE l_returnflag = 'N'), g AS (SELECT count(*) AS n, var_samp(l_extendedprice) AS v FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_linestatus),
-l AS (SELECT lob / 3 AS lob, (lob + 1.645 * (SELECT sqrt(sum((n - 1) * v) / sum(n - 1)) FROM g)) / 5 AS lod FROM b), m AS (SELECT l_suppkey, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1)
-SELECT CASE WHEN m <= lob THEN 'not detected' WHEN m < lod * 2 THEN 'detected' ELSE 'quantifiable' END AS status, count(*) AS count FROM m, l GROUP BY 1""")
+l AS (SELECT lob, lob + 1.645 * (SELECT sqrt(sum((n - 1) * v) / sum(n - 1)) FROM g) AS lod FROM b)
+SELECT l_returnflag, CASE WHEN l_extendedprice <= lob THEN 'not detected' WHEN l_extendedprice < lod THEN 'detected' ELSE 'quantifiable' END AS status, count(*) AS count FROM lineitem, l GROUP BY 1, 2""")
 
 _SPECS = [(p, q) for p in (30000.0, 40000.0, 50000.0) for q in (10.0, 20.0)]
 register("alternative_specifications", lambda s, d: _items(s, d, "l_returnflag", "l_quantity", "l_extendedprice").groupBy("l_returnflag").agg(*[F.count_if((F.col("l_extendedprice") >= p) & (F.col("l_quantity") >= q)).alias(f"n{k}") for k, (p, q) in enumerate(_SPECS)]).select("l_returnflag", F.inline(F.array(*[F.struct(F.lit(p).alias("price"), F.lit(q).alias("quantity"), F.col(f"n{k}").alias("n")) for k, (p, q) in enumerate(_SPECS)]))),

@@ -243,6 +243,7 @@ register(
     lambda s, d: S.percentiles(table(s, d, "lineitem", "l_returnflag", "l_linestatus", "l_extendedprice"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [50]).groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.round(F.max("p50"), 4)),
     "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5) FILTER (WHERE l_linestatus = 'F'), 4) AS \"F\", round(quantile_cont(l_extendedprice, 0.5) FILTER (WHERE l_linestatus = 'O'), 4) AS \"O\" FROM lineitem GROUP BY 1",
 )
+# The single-stain controls are the samples A and R; N is none and takes no part.
 register(
     "spillover_medians",
     lambda s, d: comp.spillover(_items(s, d).withColumn("own", F.when(F.col("l_returnflag") == "A", "l_quantity").when(F.col("l_returnflag") == "R", "l_extendedprice")), "own", F.col("l_quantity") >= 25, ["l_quantity", "l_extendedprice"]).withColumn("spill", F.round("spill", 8)),
