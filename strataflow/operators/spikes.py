@@ -74,7 +74,7 @@ def _neighbours(rows: np.ndarray, offsets: np.ndarray, seg: np.ndarray, raw: np.
 
 
 def _block_scale(x: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """1.4826 times the median of |x| of each stretch of fewer than 2 * FIT readings, per row."""
+    """1.4826 times the median of |x| of each stretch of fewer than 2 * FIT readings."""
     out = np.empty(len(starts))
     wide = counts > FIT
     for rows, width in ((np.flatnonzero(~wide), FIT), (np.flatnonzero(wide), 2 * FIT)):
@@ -82,7 +82,7 @@ def _block_scale(x: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nd
         inside = np.arange(width) < counts[rows, None]
         size = np.sort(np.where(inside, np.abs(x[np.minimum(place, len(x) - 1)]), np.inf), axis=1)
         out[rows] = 1.4826 * size[np.arange(len(rows)), counts[rows] // 2]
-    return np.repeat(out, counts)
+    return out
 
 
 def _levels(x: np.ndarray, seg: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -118,22 +118,25 @@ def _candidates(x: np.ndarray, level: np.ndarray, seg: np.ndarray) -> np.ndarray
     counts = np.diff(np.r_[starts, n])
     out = np.zeros(n, bool)
     y = x.copy()
-    while True:  # each round adds a candidate or is the last
+    stretch = np.repeat(np.arange(len(starts)), counts)
+    active, rows = np.arange(len(starts)), np.arange(n)  # only stretches whose readings changed, or their neighbours', need another look
+    while len(active):  # each round adds a candidate or is the last
         u = y - level
         d = np.r_[0.0, np.diff(u)]
         d[start] = 0
         d2 = np.r_[np.diff(d), 0.0]
         d2[np.r_[start[1:], True]] = 0
-        total = np.zeros(n)
+        total = np.zeros(len(rows))
         for axis in (u, d, d2):
-            scale = AXIS * _block_scale(axis, starts, counts)
+            scale, own = np.repeat(AXIS * _block_scale(axis, starts[active], counts[active]), counts[active]), axis[rows]
             with np.errstate(divide="ignore", invalid="ignore"):
-                total += np.where(scale > 0, (axis / scale) ** 2, np.where(axis != 0, np.inf, 0.0))
-        new = (total > 1) & ~out
-        if not new.any():
-            break
-        out |= new
+                total += np.where(scale > 0, (own / scale) ** 2, np.where(own != 0, np.inf, 0.0))
+        new = rows[(total > 1) & ~out[rows]]
+        out[new] = True
         y[new] = level[new]
+        touched = np.unique(stretch[new])
+        active = np.unique(np.clip(np.r_[touched - 1, touched, touched + 1], 0, len(starts) - 1)) if len(touched) else touched
+        rows = np.repeat(starts[active] - np.r_[0, np.cumsum(counts[active])[:-1]], counts[active]) + np.arange(counts[active].sum()) if len(active) else active
     return out
 
 
